@@ -66,11 +66,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_ta
         before = now
     else:
         raise RuntimeError(f"components didn't settle in {_ROUNDS} rounds")
+    leaves = tree.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = tree.select(F.col("v").alias("node")).union(loops.select("u")).distinct()
-    leaves = tree.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return roots.join(leaves, "node", "left").select("node", F.coalesce("component", "node").alias("component")).union(
-        leaves.join(roots, "node", "left_anti").select("node", "component")
-    )
+    return leaves.union(roots.join(leaves, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def _large_star(tree: DataFrame) -> DataFrame:
