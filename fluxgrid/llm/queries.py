@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxgrid.llm import decontaminate, packing, quality, simhash, tokens
+from fluxgrid.llm import chats, decontaminate, html, licenses, packing, pii, quality, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that documents are, or have as a line."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document, and terms that reveal it."""
+    return pii.spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each piece of each document with its sequence of at most 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of two replicas of all pages as WARC archives, the second one with the damage of a drill."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc.audit(warc.archived(pages), warc.archived(warc.drill(pages)))
+
+
+def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that prefix no other one, rendered."""
+    return chats.rendered(_table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each document and the cascade's verdict."""
     return quality.counts(_table(spark, sf_dir, "documents"))
@@ -38,8 +59,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op4_packing, op7_quality_rules, op8_simhash, op9_token_counts)
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_licenses, op3_pii, op4_packing, op5_warc_fixity, op6_chats, op7_quality_rules, op8_simhash,
+        op9_token_counts, op10_html,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_chats": chats.ORACLE}
