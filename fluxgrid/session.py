@@ -60,3 +60,9 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if the optimizer's estimate of its size allows it, otherwise df as it is."""
     return F.broadcast(df) if estimated_bytes(df) <= most else df
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of the relations that df is made of, without what joins may make of them; runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
