@@ -244,7 +244,7 @@ def adjacency_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, incidents, pairs); scores need places and days of events, and their strength."""
-    events, found = catalog.summaries(model(spark, d).events), incidents(spark, d)
+    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
     return events, found, validate.coverage(events, found, RADIUS_KM, LOOKBACK, LOOKAHEAD)
 
 
@@ -424,14 +424,14 @@ def pr_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def radius_lookback_grid(spark: SparkSession, d: str) -> DataFrame:
-    events, found = catalog.summaries(model(spark, d).events), incidents(spark, d)
+    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
     out = validate.sweep(events, found, RADII, LOOKBACKS, LOOKAHEAD)
     return out.select("radius_km", "lookback", "incidents_hit", "predictions_that_hit", r("recall", 7), F.round("precision", 7).alias("prec"))
 
 
 @query
 def best_sweep_cell(spark: SparkSession, d: str) -> DataFrame:
-    events, found = catalog.summaries(model(spark, d).events), incidents(spark, d)
+    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
     return validate.best(validate.sweep(events, found, RADII, LOOKBACKS, LOOKAHEAD)).select("radius_km", "lookback", r("recall", 7))
 
 
