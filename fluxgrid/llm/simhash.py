@@ -295,7 +295,8 @@ def links(prints: DataFrame) -> DataFrame:
     of over BUCKET fingerprints is dealt again: each of its fingerprints gets a block by its hash, each pair of blocks
     is a bucket of its own, and so no task holds more than two blocks.
     """
-    keyed = prints.mapInArrow(_keyed, "key bigint, print bigint")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fingerprint becomes some 180 keys
+    keyed = prints.repartition(tasks).mapInArrow(_keyed, "key bigint, print bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "print")
     found = cut(dealt.mapInArrow(_linked, "a bigint, b bigint, key bigint"))
     edges, large = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("print"))
