@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm import words as W
@@ -127,9 +127,9 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that rows share only if they have the same id and text."""
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit(""))))
+def _key() -> Column:
+    """A key that rows share only if they have the same id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def revealing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what each row has, the terms to change in each key: key, terms array<struct<start, end, action>>)."""
-    source = _keyed(docs).select(F.col("_key").alias("key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    source = docs.select(_key().alias("key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     found = cut(source.mapInArrow(_found, FOUND))
     close = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*")
     told = revealing(docs, close)
@@ -227,12 +227,14 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """docs with its columns, personal data and revealing terms replaced in text; n_chars, if there, is counted anew."""
     names = docs.columns
     _, terms = _analysed(docs)
-    wide = _keyed(docs).join(small(terms.withColumnRenamed("key", "_key")), "_key", "left").select(*(docs[c] for c in names), F.col("terms").alias("_terms"))
+    mine = "_sanitised_" + "_".join(names)  # no column of docs has a name that holds all names
+    marked = terms.select(F.col("key").alias(mine), F.col("terms").alias(mine + "_"))
+    wide = docs.withColumn(mine, _key()).join(small(marked), mine, "left").select(*names, mine + "_")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at = batch.column("text").to_pylist(), names.index("text")
-            marks = batch.column("_terms").to_pylist()
+            marks = batch.column(mine + "_").to_pylist()
             new = [None if t is None else redacted(t, [(x["start"], x["end"], x["action"]) for x in m or ()]) for t, m in zip(texts, marks, strict=True)]
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(new, pa.string())

@@ -94,7 +94,7 @@ def separator_scan(files: DataFrame) -> DataFrame:
     found = cut(files.select("file_id", "block", "ids", "doc_ids").mapInArrow(
         _positions, "file_id bigint, block bigint, n bigint, ends array<int>, doc_ids array<bigint>"
     ))
-    sums = found.select("file_id", "block", F.floor(F.col("block") / FAN).alias("part"), "n", F.element_at("ends", F.lit(-1)).alias("last"))
+    sums = found.select("file_id", "block", F.floor(F.col("block") / FAN).alias("part"), "n", F.try_element_at("ends", F.lit(-1)).alias("last"))
     inner = Window.partitionBy("file_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     local = sums.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
