@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-_LAT = "(-67.5 + 15.0 * lat_i)"
-_LON = "(-168.0 + 24.0 * lon_i)"
+_LAT = "(-67.5 + 15.0 * lat_i)::double"
+_LON = "(-168.0 + 24.0 * lon_i)::double"
 
 
 def _gradient(value: str, source: str, by: str, km: bool) -> str:
