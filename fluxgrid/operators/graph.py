@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_ta
     Alternates large-star and small-star steps: in each, a node passes the smallest of its neighbours on to its larger
     or smaller ones, which halves the depth of the trees, so that the rounds grow as the logarithm of the diameter.
     Minima are aggregated before the shuffle, no list of neighbours is ever built, and each round's edges are written
-    to the shared checkpoint folder.
+    to the shared checkpoint folder. So are the minima, as a join with a table can be split where a node has many
+    neighbours, and one with an aggregation over the same exchange can't.
 
     in_one_task: up to so many distinct edges, a union-find in a single task replaces the rounds.
     """
@@ -59,7 +60,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_ta
     loops = own.where("u = v").select("u")
     tree, before = own.where("u > v"), None
     for _ in range(_ROUNDS):
-        tree = cut(_small_star(_large_star(tree)))
+        tree = cut(_small_star(cut(_large_star(tree))))
         now = tree.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -74,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_ta
 def _large_star(tree: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of its neighbours and itself."""
     both = tree.select("u", "v").union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
     return (
         both.where("v > u").join(least, "u")
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -84,7 +85,7 @@ def _large_star(tree: DataFrame) -> DataFrame:
 
 def _small_star(tree: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
-    least = tree.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(tree.groupBy("u").agg(F.min("v").alias("m")))
     return (
         tree.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(least.select("u", F.col("m").alias("v")))
