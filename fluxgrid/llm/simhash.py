@@ -325,8 +325,9 @@ def components(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     groups = cut(groups)
     labels = connected_components(links(groups.select("print"))).withColumnRenamed("node", "print")
-    named = groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = cut(groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
+    # Tables, as a join with an aggregation over the same exchange can't be split where a component has many fingerprints.
+    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     by_print = named.join(least, "component").select("print", "component_id")
     return rows.join(by_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
