@@ -3,9 +3,12 @@
 A page is read into blocks, the text between two block-level tags, each with the path of tags from the root to it. Over
 all blocks of a path, the length of text and the number of punctuation marks for each block are the path's ratios. In
 page order the ratios are smoothed over neighbouring blocks and fused into one score; a path whose blocks' mean score is
-over a share of the scores' deviation is content, and so all its blocks are. Elements that are no part of an article by
-their tag, role or class have no score; where a page marks its article, nothing outside has, and all inside is content
-that isn't excluded.
+over a share of the scores' deviation is a content path. Elements that are no part of an article by their tag, role or
+class have no score, and those that a page marks as its article have a higher one.
+
+The blocks of content paths then locate the article: the marked elements if some of those blocks lie there, otherwise
+the smallest structural element with most of their text. An article's short blocks, as subheadings and list items, have
+low ratios of their own; all blocks of the article that aren't excluded are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 
 #: Share of the scores' standard deviation that a content path has to reach.
 THRESHOLD = 0.5
+#: How much more the score of a block counts in an element marked as an article.
+MARK = 4
+#: Share of the content paths' text that the article's element has to hold.
+MOST = 0.8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -36,6 +43,8 @@ CLOSES = {
     "th": ("td", "th"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",),
 }
 SCOPE = frozenset("table ul ol dl select article section div body html td th".split())
+STRUCTURE = frozenset("html body main article section div center td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that are no part of an article.
 EXCLUDED_TAGS = frozenset("head script style noscript template nav header footer aside form button select option textarea iframe object embed svg canvas dialog menu audio video map".split())
 EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar status".split())
@@ -54,6 +63,16 @@ class Block:
     text: str
     excluded: bool
     marked: bool
+    #: The element that the block lies in, as its place in Page.elements.
+    element: int = 0
+
+
+@dataclass
+class Page:
+    """Blocks and elements in their order; an element is (its parent's place, its tag), and the first is the page itself."""
+
+    blocks: list[Block] = field(default_factory=list)
+    elements: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])
 
 
 @dataclass
@@ -62,11 +81,12 @@ class _Open:
     step: str
     excluded: bool
     marked: bool
+    element: int
 
 
 @dataclass
 class _Reader:
-    blocks: list[Block] = field(default_factory=list)
+    page: Page = field(default_factory=Page)
     stack: list[_Open] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
 
@@ -77,7 +97,7 @@ class _Reader:
             if text:
                 top = self.stack[-1] if self.stack else None
                 path = "/".join(x.step for x in self.stack if x.tag not in INLINE)
-                self.blocks.append(Block(path, text, bool(top and top.excluded), bool(top and top.marked)))
+                self.page.blocks.append(Block(path, text, bool(top and top.excluded), bool(top and top.marked), top.element if top else 0))
 
     def opened(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -100,7 +120,11 @@ class _Reader:
         step = tag + "".join(f".{x}" for x in sorted(words))
         if excluded != bool(top and top.excluded) or marked != bool(top and top.marked):
             self.end_block()
-        self.stack.append(_Open(tag, step, excluded, marked))
+        element = top.element if top else 0
+        if tag not in INLINE:
+            self.page.elements.append((element, tag))
+            element = len(self.page.elements) - 1
+        self.stack.append(_Open(tag, step, excluded, marked, element))
 
     def close(self, tag: str, scope: frozenset[str] = frozenset()) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -117,8 +141,8 @@ class _Reader:
             self.end_block()
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in their order; a tag that is never closed, or closed twice, does no harm."""
+def read(page: str) -> Page:
+    """The blocks and elements of a page; a tag that is never closed, or closed twice, does no harm."""
     reader, at, low = _Reader(), 0, None
     while True:
         m = _TOKEN.search(page, at)
@@ -146,7 +170,7 @@ def blocks(page: str) -> list[Block]:
                 reader.close(tag)
     reader.text.append(references.unescape(page[at:]))
     reader.end_block()
-    return reader.blocks
+    return reader.page
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -155,13 +179,10 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def content(found: list[Block], threshold: float = THRESHOLD) -> list[Block]:
-    """The blocks whose paths the ratios take for content."""
-    found = [b for b in found if not b.excluded]
-    if any(b.marked for b in found):
-        found = [b for b in found if b.marked]
+def content_paths(found: list[Block], threshold: float = THRESHOLD) -> set[str]:
+    """The paths of the blocks that the ratios take for content; the best one if none reaches the threshold."""
     if not found:
-        return []
+        return set()
     length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         length[b.path] += len(b.text)
@@ -169,18 +190,67 @@ def content(found: list[Block], threshold: float = THRESHOLD) -> list[Block]:
         number[b.path] += 1
     text = _smooth(np.array([length[b.path] / number[b.path] for b in found]))
     stops = _smooth(np.array([marks[b.path] / number[b.path] for b in found]))
-    score = text * (1 + stops)
-    limit = threshold * score.std()
+    score = text * (1 + stops) * np.array([MARK if b.marked else 1 for b in found])
     by_path = defaultdict(list)
     for b, s in zip(found, score.tolist(), strict=True):
         by_path[b.path].append(s)
-    chosen = {p for p, own in by_path.items() if sum(own) / len(own) >= limit}
-    return [b for b in found if b.marked or b.path in chosen]
+    mean = {p: sum(own) / len(own) for p, own in by_path.items()}
+    limit = min(threshold * score.std(), max(mean.values()))
+    return {p for p, m in mean.items() if m >= limit}
+
+
+def _inside(page: Page, element: int) -> list[bool]:
+    """Whether each element is the given one or within it; parents come before their children."""
+    out = [False] * len(page.elements)
+    for k, (parent, _) in enumerate(page.elements):
+        out[k] = k == element or (k > 0 and out[parent])
+    return out
+
+
+def article(page: Page, found: list[Block], paths: set[str]) -> int:
+    """The smallest structural element with most text of the content paths, and with the headings next to it."""
+    weight, number = [0] * len(page.elements), [0] * len(page.elements)
+    for b in found:
+        weight[b.element] += len(b.text) if b.path in paths else 0
+        number[b.element] += 1
+    for k in range(len(weight) - 1, 0, -1):
+        weight[page.elements[k][0]] += weight[k]
+        number[page.elements[k][0]] += number[k]
+    at = max(k for k, w in enumerate(weight) if w >= MOST * weight[0])
+    while at and page.elements[at][1] not in STRUCTURE:
+        at = page.elements[at][0]
+    while at and page.elements[up := page.elements[at][0]][1] in STRUCTURE - {"html", "body"}:
+        if number[up] > number[at]:
+            own, wider = _inside(page, at), _inside(page, up)
+            more = [b for b in found if wider[b.element] and not own[b.element]]
+            if not all(b.path in paths or page.elements[b.element][1] in HEADINGS for b in more):
+                break
+        at = up
+    return at
+
+
+def content(page: Page, threshold: float = THRESHOLD) -> list[Block]:
+    """The blocks of the page's article."""
+    found = [b for b in page.blocks if not b.excluded]
+    paths = content_paths(found, threshold)
+    if any(b.marked and b.path in paths for b in found):
+        return [b for b in found if b.marked]
+    if not found:
+        return []
+    at = article(page, found, paths)
+    if page.elements[at][1] in ("", "html", "body"):  # the article has no element of its own
+        place = [k for k, b in enumerate(found) if b.path in paths]
+        first = place[0]
+        while first and page.elements[found[first - 1].element][1] in HEADINGS:
+            first -= 1
+        return found[first : place[-1] + 1]
+    own = _inside(page, at)
+    return [b for b in found if own[b.element]]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by an empty line; empty for null and for pages without any."""
-    return "\n\n".join(b.text for b in content(blocks(page or "")))
+    return "\n\n".join(b.text for b in content(read(page or "")))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -358,3 +358,18 @@ def test_pipeline_equals_brute_force(spark):
     left = {i for i in reps if not any(len(w & shingles(text[i])) >= 0.8 * len(w) for w in wanted)}
     out = pipeline.run(spark, DATA)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left and len(pipeline.STAGES) == 5
+
+
+def test_html_article_without_a_mark():
+    """Short blocks of the article stay and unnamed menus go, whether the article has an element or lies in the body."""
+    parts = ["<h1>Title</h1>", "<p>Long text, with commas, and stops. It goes on, and on, for a while.</p>", "<h2>Sub</h2>", "<ul><li>one<li>two</ul>",
+             "<p>Another long text, with commas. And a stop, at last, for good measure.</p>"]
+    wanted = "\n\n".join(["Title", "Long text, with commas, and stops. It goes on, and on, for a while.", "Sub", "one", "two",
+                          "Another long text, with commas. And a stop, at last, for good measure."])
+    menu, more = "<ul><li><a href=/>Home</a><li><a href=/n>News</a></ul>", "<ul><li>Link a<li>Link b</ul>"
+    for before, after in (("<div>", "</div>"), ("<article>", "</article>"), ("<div><div>", "</div></div>"), ("", "")):
+        assert html.main_text(f"<body><div>{menu}</div>{before}{''.join(parts)}{after}<div>{more}</div></body>") == wanted
+    split = f"<body><div>{menu}</div><div>{parts[0]}<div>{''.join(parts[1:])}</div></div><div>{more}</div></body>"
+    assert html.main_text(split) == wanted
+    assert html.main_text("<div>" * 5000 + "x") == "x"
+    assert [html.main_text(x) for x in ("", "plain", "<p>a", "<nav>menu</nav>", "<article><nav>menu</nav></article>")] == ["", "plain", "a", "", ""]
