@@ -15,7 +15,7 @@ So equality joins on these keys find every such pair, and an exact count of the
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations, permutations
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxgrid.llm import neardup
 from fluxgrid.llm import words as W
 from fluxgrid.llm.xxh64 import xxh64
 from fluxgrid.operators.graph import connected_components
@@ -313,6 +314,17 @@ def links(prints: DataFrame) -> DataFrame:
     return edges.union(more.select("a", "b"))
 
 
+def _least_ids(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(print, component_id) of rows(doc_id, print): the smallest doc_id of each print's component; linked gives the edges of prints."""
+    groups = rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+    groups = cut(groups)
+    labels = connected_components(linked(groups.select("print"))).withColumnRenamed("node", "print")
+    named = cut(groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
+    # Tables, as a join with an aggregation over the same exchange can't be split where a component has many fingerprints.
+    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return named.join(least, "component").select("print", "component_id")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs(doc_id, text).
 
@@ -322,13 +334,7 @@ def components(docs: DataFrame) -> DataFrame:
     out repeated. Rows of the same fingerprint are aggregated before anything is joined, so copies cost nothing more.
     """
     rows = cut(with_fingerprints(docs))
-    groups = rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    groups = cut(groups)
-    labels = connected_components(links(groups.select("print"))).withColumnRenamed("node", "print")
-    named = cut(groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
-    # Tables, as a join with an aggregation over the same exchange can't be split where a component has many fingerprints.
-    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    by_print = named.join(least, "component").select("print", "component_id")
+    by_print = _least_ids(rows, links)
     return rows.join(by_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -337,9 +343,13 @@ def components(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each component: that with its smallest doc_id. Of rows with the same id, one stays.
 
+    Components are of texts with a similarity of at least 0.8 (fluxgrid.llm.neardup), not of near fingerprints.
+
     Where no row of a component has an id, all its rows with a null doc_id stay; they can't be told apart.
     """
-    found = components(docs)
+    rows = cut(neardup.prints(docs))
+    named = _least_ids(rows, lambda _: neardup.links(docs, rows))
+    found = rows.join(named, "print").select("doc_id", "component_id")
     stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     stays = cut(stays)
     unnamed = docs.where("doc_id is null")
