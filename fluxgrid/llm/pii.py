@@ -1,19 +1,19 @@
 """Personal data: spans by pattern, and terms that reveal them by what the corpus says.
 
-Patterns find addresses, network addresses, card and telephone numbers: the protected entities. Terms that stand near
-an entity are then weighed by information theory. With N documents, n(e) distinct contexts of the entity e, n(e, t) of
-those with the term t, and n(t) documents with t, the term tells
+Patterns find addresses, network addresses, card and telephone numbers: the protected entities. The terms of the
+documents that have an entity are then weighed by information theory. With N distinct texts, n(e) of them with the
+entity e, n(e, t) with both it and the term t, wherever in the text, and n(t) with t, the term tells
 
     PMI(e; t) = log2(n(e, t) / n(e) * N / n(t)) bits of the log2(N / n(e)) bits that the entity has.
 
-A term whose share is over a threshold is generalised, over a higher one removed. Only terms that two contexts or more
-share are weighed, as a single one is no evidence; and contexts that are the same word for word count once, so that
-copies of a document don't vouch for each other.
+A term whose share is over a threshold is generalised, over a higher one removed, at all its places in each document
+that has the entity. Only terms that two texts or more share with the entity are weighed, as a single one is no
+evidence; texts that are the same count once, so that copies of a document don't vouch for each other. Any word outside
+protected spans is a term: common ones tell too little, by the same measure.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm import words as W
-from fluxgrid.session import cut, small
+from fluxgrid.session import BROADCAST_BYTES, cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as near it, and the characters that they are looked for in.
-NEAR_WORDS, NEAR_CHARS = 6, 120
-TERM_CHARS = 4
-CONTEXTS = 2
+#: Distinct texts that an entity and a term have to share.
+TEXTS = 2
 GENERALISE, REMOVE = 0.5, 0.8
 #: Terms that one pass over the documents counts; more of them take more passes.
 BLOCK_TERMS = 1_000_000
@@ -89,52 +87,89 @@ def _lower(word: str) -> str:
     return word.lower() if word.isascii() else "".join(c.lower() if c < "\x80" else c for c in word)
 
 
-def near(text: str, spans: dict[str, list[Span]]) -> Iterator[tuple[str, str, list[tuple[str, int, int]]]]:
-    """(entity, context, terms near it with their places) of each span; the context stands for all the words near it."""
-    taken = sorted(x for own in spans.values() for x in own)
-    for kind, own in spans.items():
-        for s, e in own:
-            entity = f"{kind}:{text[s:e].lower() if kind == 'email' else _NOT_DIGIT.sub('.' if kind == 'ip' else '', text[s:e])}"
-            words = []
-            for lo, hi, left in ((max(0, s - NEAR_CHARS), s, True), (e, min(len(text), e + NEAR_CHARS), False)):
-                side = [(_lower(m[0]), m.start(), m.end()) for m in _TERM.finditer(text, lo, hi)]
-                # A word that the edge of the characters looked at cuts off isn't one; one cut off by the span isn't either.
-                side = [x for x in side if not (x[1] > 0 and _TERM.match(text, x[1] - 1)) and not _TERM.match(text, x[2])]
-                side = [x for x in side if all(x[2] <= a or x[1] >= b for a, b in taken)]
-                words += side[-NEAR_WORDS:] if left else side[:NEAR_WORDS]
-            context = hashlib.blake2b(" ".join(w for w, _, _ in words).encode("utf-8", "replace"), digest_size=8).hexdigest()
-            yield entity, context, [x for x in words if len(x[0]) >= TERM_CHARS and not _DIGIT.search(x[0])]
+def entities(text: str, spans: dict[str, list[Span]]) -> set[str]:
+    """The entities of a text's spans, the same for all ways to write one."""
+    return {
+        f"{kind}:{text[s:e].lower() if kind == 'email' else _NOT_DIGIT.sub('.' if kind == 'ip' else '', text[s:e])}"
+        for kind, own in spans.items() for s, e in own
+    }
 
 
-FOUND = "key bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, near array<struct<entity:string,context:string,term:string,start:bigint,end:bigint>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def terms(text: str, spans: dict[str, list[Span]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of each word of a text that no span overlaps."""
+    taken, k = sorted(x for own in spans.values() for x in own), 0
+    reach = 0  # the furthest end of the spans that begin before the word's end
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][0] < e:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if s >= reach:
+            yield _lower(m[0]), s, e
+
+
+FOUND = "key bigint, same bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, base, close = [[] for _ in KINDS], [], []
+        counts, base, own_entities = [[] for _ in KINDS], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             for own, kind in zip(counts, KINDS, strict=True):
                 own.append(len(spans[kind]))
             base.append(joined(spans))
-            close.append([
-                {"entity": e, "context": c, "term": t, "start": s, "end": x} for e, c, terms in near(text, spans) for t, s, x in terms
-            ] if base[-1] else [])
+            own_entities.append(sorted(entities(text or "", spans)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in counts), pa.array(base, pa.string()), pa.array(close, _NEAR)],
-            ["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+            [*(batch.column(c) for c in ("key", "same", "doc_id")), *(pa.array(x, pa.int64()) for x in counts), pa.array(base, pa.string()), pa.array(own_entities, pa.list_(pa.string()))],
+            ["key", "same", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities"],
         )
 
 
+def _own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            text = batch.column(1)[at].as_py()
+            own = sorted({t for t, _, _ in terms(text, base_spans(text))})
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([own], pa.list_(pa.string()))], ["entities", "terms"])
+
+
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, told in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            action = {x["term"]: x["action"] for x in told}
+            out.append([{"start": s, "end": e, "action": action[t]} for t, s, e in terms(text, base_spans(text)) if t in action])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _PLACES)], ["key", "terms"])
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """df, of few short columns, with a broadcast hint if its rows are few; the optimizer knows no size of a checkpoint."""
+    return F.broadcast(df) if df.count() * 64 <= BROADCAST_BYTES else df
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text) of each distinct text of docs; only those that are repeated are shuffled."""
+    own = docs.select(_same().alias("same"), F.col("text").cast("string").alias("text"))
+    repeated = _hinted(cut(own.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same")))
+    return own.join(repeated, "same", "left_anti").union(own.join(repeated, "same", "left_semi").dropDuplicates(["same"])).select("text")
+
+
+def _same() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _key() -> Column:
     """A key that rows share only if they have the same id and text."""
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): the number of rows of docs that have each term; the terms reach the executors in blocks."""
-    spark, n = docs.sparkSession, terms.count()
+    """(term, n_t): the number of distinct texts of docs that have each term; the terms reach the executors in blocks."""
+    spark, n, docs = docs.sparkSession, terms.count(), _distinct_texts(docs)
     passes, parts = max(1, -(-n // BLOCK_TERMS)), []
     for k in range(passes):
         own = sorted(r.term for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect())
@@ -165,32 +200,42 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def revealing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term, share, action) of the terms that tell more than the threshold; contexts(entity, context, term)."""
-    seen = contexts.select("entity", "context", "term").distinct()
-    both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= CONTEXTS))
-    own = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = docs.count()
+def revealing(docs: DataFrame, texts: DataFrame, own: DataFrame, total: int) -> DataFrame:
+    """(entity, term, action) of the terms that tell more than the threshold.
+
+    texts(entities, terms): the distinct texts with entities that several texts have; own(entity, n_e); total: all distinct texts.
+    """
+    seen = texts.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= TEXTS).join(own, "entity"))
     by_term = _document_counts(docs, both.select("term").distinct())
     bits = F.log2(F.col("n_et") / F.col("n_e") * F.lit(float(total)) / F.col("n_t"))
     share = bits / F.greatest(F.log2(F.lit(float(total)) / F.col("n_e")), F.lit(1.0))
     return (
-        both.join(own, "entity").join(by_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
-        .select("entity", "term", "share", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+        both.join(by_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
+        .select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
     )
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what each row has, the terms to change in each key: key, terms array<struct<start, end, action>>)."""
-    source = docs.select(_key().alias("key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    source = docs.select(_key().alias("key"), _same().alias("same"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     found = cut(source.mapInArrow(_found, FOUND))
-    close = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*")
-    told = revealing(docs, close)
-    terms = (
-        close.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    total = found.select("same").distinct().count()
+    each = found.where(F.size("entities") > 0).select("key", "same", F.explode("entities").alias("entity"))
+    own = cut(each.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= TEXTS))
+    each = cut(each.join(own.select("entity"), "entity"))
+    keys = each.groupBy("key").agg(F.collect_set("entity").alias("entities"))
+    texts = cut(source.select("key", "same", "text").join(_hinted(cut(keys.select("key"))), "key", "left_semi").dropDuplicates(["key"]))
+    with_terms = texts.join(keys, "key").dropDuplicates(["same"]).select("entities", "text").mapInArrow(_own_terms, "entities array<string>, terms array<string>")
+    told = cut(revealing(docs, with_terms, own, total))
+    changes = (
+        each.select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))
+        .groupBy("key").agg(F.collect_list(F.struct("term", "action")).alias("told"))
+    )
+    places = texts.join(changes, "key").select("key", "text", "told").mapInArrow(
+        _placed, "key bigint, terms array<struct<start:bigint,end:bigint,action:string>>"
     )
-    return found, cut(terms)
+    return found, cut(places)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -201,7 +246,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """
     found, terms = _analysed(docs)
     extra = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")))
-    return found.join(small(terms), "key", "left").select(
+    return found.join(terms, "key", "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(extra, ",")).alias("spans"),
         F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("n_term"),
@@ -229,7 +274,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     _, terms = _analysed(docs)
     mine = "_sanitised_" + "_".join(names)  # no column of docs has a name that holds all names
     marked = terms.select(F.col("key").alias(mine), F.col("terms").alias(mine + "_"))
-    wide = docs.withColumn(mine, _key()).join(small(marked), mine, "left").select(*names, mine + "_")
+    wide = docs.withColumn(mine, _key()).join(marked, mine, "left").select(*names, mine + "_")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
