@@ -16,3 +16,12 @@ def test_a_passage_that_is_the_same_everywhere_is_weighed(spark):
 def test_copies_do_not_vouch_for_each_other(spark):
     rows = [(k, "one zorblax writes from kim@site.org" if k < 5 else f"another{k} text") for k in range(100)]
     assert _sanitised(spark, rows)[0] == "one zorblax writes from [EMAIL]"
+
+
+def test_terms_are_changed_wherever_they_stand(spark):
+    gap = " ".join(["common words between them"] * 20)
+    rows = [(k, f"Bo x9y {gap} {'kim@site.org' if k < 3 else 'nobody'} {gap} text{k} BO again" if k < 3 else f"{gap} text{k} again") for k in range(200)]
+    found = _sanitised(spark, rows)
+    for k in range(3):
+        assert not {"bo", "x9y"} & set(found[k].lower().split()) and "common words between them" in found[k]
+    assert found[100] == rows[100][1]
