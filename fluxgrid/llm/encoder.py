@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from fluxgrid.llm import words as W
 
@@ -90,15 +91,20 @@ class _Pairs:
 
 
 class Encoder:
-    """Ids of texts as by tokenizers' encode(text, add_special_tokens=False), special tokens' strings being ordinary text."""
+    """Ids of texts as by tokenizers' encode(text, add_special_tokens=False).
+
+    plain is the library's object as the file gives it: a special token's string in a text is that token. For library
+    such strings are ordinary text.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.plain, self.library = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            settings = json.load(f)
+        model, self.special = settings["model"], [t["content"] for t in settings.get("added_tokens", ())]
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         if model["type"] != "BPE" or model["dropout"] or len(vocabulary) > 1 << 16:
             raise ValueError(f"{path} isn't a plain BPE vocabulary of at most 65536 ids")
@@ -221,8 +227,30 @@ class Encoder:
         stop = np.minimum(np.append(units[1:], len(data)), ends[last])
         return low, units, stop, plain[last]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each); a null counts as empty."""
+    def _special_rows(self, texts: pa.Array) -> np.ndarray:
+        """The rows whose text may have a special token's string, in whatever case."""
+        heads = {x[:2] for x in self.special}
+        rows = [np.flatnonzero(pc.match_substring(texts, head).fill_null(False)) for head in heads]
+        near = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+        return np.array([r for r in near.tolist() if any(x in texts[r].as_py().lower() for x in self.special)], np.int64)
+
+    def encode(self, texts: pa.Array, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null counts as empty. literal: special tokens' strings are ordinary text."""
+        rows = np.zeros(0, np.int64) if literal else self._special_rows(texts)
+        if not len(rows):
+            return self._encode(texts)
+        others = np.ones(len(texts), bool)
+        others[rows] = False
+        ids, counts = self._encode(pc.if_else(pa.array(others), texts, pa.scalar(None, texts.type)))
+        ends, parts, last = np.cumsum(counts), [], 0
+        for row in rows.tolist():
+            own = np.array(self.plain.encode(texts[row].as_py(), add_special_tokens=False).ids, np.uint16)
+            parts += [ids[last : ends[row]], own]
+            last, counts[row] = ends[row], len(own)
+        return np.concatenate((*parts, ids[last:])), counts
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts whose special tokens' strings, if any, are ordinary text."""
         found, counts = [np.zeros(0, np.uint16)], np.zeros(len(texts), np.int64)
         for row, n, data, offsets in W.blocks(texts, _BLOCK):
             low, starts, ends, plain = self._units(data, offsets)

@@ -1,8 +1,9 @@
 """Packing of documents into sequences: first-fit decreasing in randomised groups.
 
-A document's ids are cut into pieces of the sequence's length and a rest. Pieces are dealt to groups at random, about
-GROUP to each, and each group is packed by itself: the longest piece first, into the first sequence with room. A
-tournament tree over the sequences' free room finds that sequence in a logarithm of their number.
+A document's ids are cut into pieces of the sequence's length and a rest. Full pieces are sequences by themselves. The
+others are dealt to groups at random, about GROUP to each, and each group is packed by itself: the longest piece first,
+into the first sequence with room. A tournament tree over the sequences' free room finds that sequence in a logarithm
+of their number. Groups are as many as pieces ask for, not documents, so long documents make more groups, not larger ones.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm.encoder import vocabulary_path
 from fluxgrid.llm.tokens import encoded
+from fluxgrid.session import cut
 
 LENGTH = 4096
 END = 2
 #: Pieces of a group on average. The last sequences of a group are the ones with padding.
-GROUP = 16384
+GROUP = 8192
 SEED = 17
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
@@ -53,7 +55,7 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
     """The pieces of each row of docs(doc_id, text), and with keep_ids their ids (little-endian unsigned 32-bit)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, ids, sizes in encoded(batch, "text", path):
                 flat = memoryview(np.insert(ids, np.cumsum(sizes), end).astype("<u4")).cast("B")
@@ -73,29 +75,32 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, kee
                 )
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return source.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    return source.mapInArrow(made, PIECES + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of each row of docs(doc_id, text), with its sequence and its offset there.
 
     A null or empty text has one id, the end's. Repeated rows are packed as rows of their own, and null ids come out as
-    null. Groups are dealt by a hash of the row's place, so that no id, however frequent, makes a group large.
+    null; an empty table gives no row. Groups are dealt by a hash of the piece's place, so that no id, however frequent,
+    makes a group large. Pieces are written once to the shared folder: their number is known before they are dealt, and
+    a lost executor costs no second encoding.
     """
-    groups = max(1, -(-docs.count() // group))
-    row = F.monotonically_increasing_id()
-    dealt = pieces(docs, path or vocabulary_path(), length, end, keep_ids).withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", row, F.lit(SEED)), F.lit(groups))
-    )
+    own = cut(pieces(docs, path or vocabulary_path(), length, end, keep_ids)).withColumn("_row", F.monotonically_increasing_id())
+    full = own.where(F.col("length") == length).withColumns({"sequence_id": 2 * F.col("_row") + 1, "offset": F.lit(0).cast("bigint")}).drop("_row")
+    rest = own.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
+    dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(SEED)), F.lit(groups)))
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
-        table = table.sort_by(order).drop_columns(["_group"])
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("_row", "ascending")]
+        table = table.sort_by(order).drop_columns(["_group", "_row"])
         bins, offsets = first_fit(table.column("length").to_pylist(), length)
-        ids = np.array(bins, np.int64) + (key[0].as_py() << 32)
+        ids = 2 * (np.array(bins, np.int64) + (key[0].as_py() << 32))
         return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return dealt.groupBy("_group").applyInArrow(fill, (PIECES + ", ids binary" * keep_ids) + ", sequence_id bigint, offset bigint")
+    packed = dealt.groupBy("_group").applyInArrow(fill, (PIECES + ", ids binary" * keep_ids) + ", sequence_id bigint, offset bigint")
+    return packed.unionByName(full)
 
 
 def padding(packed: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import parity
 from fluxgrid.llm import chats, decontaminate, encoder, html, licenses, packing, pii, quality, simhash, tokens, warc
@@ -23,6 +24,7 @@ TEXTS = [
     (6, "x " * 30_000), (7, f"before {ITEM.upper()}, after it"), (8, f"before {ITEM.replace('theta', 'other')} after"),
     (9, "mail a.b@c.org now, call +1 (555) 123-4567, pay 4539578763621486 from 10.0.0.255 or 10.0.0.256"), (None, "no id here"), (None, None),
     (10, "Released under the MIT License."), (11, "text\nLICENSED under the Apache Licence, Version 2.0\nmore"), (12, "\x00 odd \x1f signs İ ſ 東京 😀"),
+    (13, "hello <|endoftext|> world<|startoftext|>!"),
 ]
 CLASH = ["key", "term", "start", "end", "n", "print", "component", "_at", "_n", "_key", "_terms", "_group", "item_id", "kept", "n_words", "length", "row"]
 
@@ -129,8 +131,9 @@ def test_pii(docs, spark):
 
 def test_packing(docs):
     path = encoder.vocabulary_path()
-    library = encoder.Encoder(path).library
+    library = Tokenizer.from_file(path)
     expected = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in TEXTS if i is not None}
+    assert 49407 in expected[13]
     rows = packing.pack(docs, length=512, group=4).collect()
     by_doc, by_sequence = collections.defaultdict(set), collections.defaultdict(list)
     for r in rows:
@@ -154,6 +157,20 @@ def test_packing(docs):
     assert np.frombuffer(ids.ids, "<u4").tolist() == expected[1]
 
 
+def test_packing_groups_are_bounded_by_pieces(spark):
+    """Long documents make more groups, not larger ones, and full pieces are sequences of their own."""
+    docs = spark.createDataFrame([(k, "word " * (700 + k)) for k in range(40)], "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, length=100, group=10).collect()
+    assert len(rows) > 280
+    by_group, full = collections.Counter(), [r for r in rows if r.length == 100]
+    for r in rows:
+        if r.length < 100:
+            by_group[r.sequence_id >> 33] += 1
+    assert len(by_group) >= 3 and max(by_group.values()) < 30
+    assert len({r.sequence_id for r in full}) == len(full) and all(r.offset == 0 and r.sequence_id % 2 for r in full)
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 100}
+
+
 def test_first_fit_equals_a_search():
     random.seed(8)
     for n in (0, 1, 2, 77):
@@ -170,12 +187,17 @@ def test_first_fit_equals_a_search():
 def test_encoder_equals_the_library():
     random.seed(0)
     own = encoder.Encoder(encoder.vocabulary_path())
-    parts = ["a", "B", "É", "é", "İ", "ß", "́", "'s", "n't", "'re", "1", "23", "²", "東京", "<|endoftext|>", "\t", "\x1c", " ", " ", "...", "!?", ",", "-", "😀", "\r\n", "K", "Σ", "\n", "A.B", "\x00", "word" * 15]
+    parts = ["a", "B", "É", "é", "İ", "ß", "́", "'s", "n't", "'re", "1", "23", "²", "東京", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "\t", "\x1c", " ", " ", "...", "!?", ",", "-", "😀", "\r\n", "K", "Σ", "\n", "A.B", "\x00", "word" * 15]
     texts = ["".join(random.choices(parts, k=random.randrange(14))) for _ in range(2000)] + [None, ""]
-    ids, sizes = own.encode(pa.array(texts))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    for k, e in enumerate(own.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)):
-        assert ids[at[k] : at[k + 1]].tolist() == e.ids, texts[k]
+    plain = Tokenizer.from_file(encoder.vocabulary_path())
+    ordinary = Tokenizer.from_file(encoder.vocabulary_path())
+    ordinary.encode_special_tokens = True
+    for library, literal in ((plain, False), (ordinary, True)):
+        ids, sizes = own.encode(pa.array(texts), literal)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+            assert not literal or tokens.END not in ids[at[k] : at[k + 1]]
 
 
 def test_token_counts(docs, spark, monkeypatch):
@@ -191,10 +213,11 @@ def test_token_counts(docs, spark, monkeypatch):
         sizes.append(random.choice([0, 1, 5, 30]))
         stream += [1] * sizes[-1] + [tokens.END]
     stream += [1, 1]
-    blocks = [(0, k, np.array(stream[8 * k : 8 * k + 8], "<u2").tobytes(), None) for k in range(-(-len(stream) // 8))]
+    blocks = [(0, k, np.array(stream[8 * k : 8 * k + 8], "<u2").tobytes()) for k in range(-(-len(stream) // 8))]
     found = tokens.separator_scan(spark.createDataFrame(blocks, tokens.FILES)).orderBy("start").collect()
     assert [r.n_tokens for r in found] == sizes
     assert [r.start for r in found] == [sum(sizes[:k]) + k for k in range(len(sizes))]
+    assert [r.number for r in found] == list(range(len(sizes)))
 
 
 def _counts(text):
