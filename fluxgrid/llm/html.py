@@ -1,14 +1,19 @@
 """The main text of a web page, by tag-path ratios.
 
-A page is read into blocks, the text between two block-level tags, each with the path of tags from the root to it. Over
-all blocks of a path, the length of text and the number of punctuation marks for each block are the path's ratios. In
-page order the ratios are smoothed over neighbouring blocks and fused into one score; a path whose blocks' mean score is
-over a share of the scores' deviation is a content path. Elements that are no part of an article by their tag, role or
-class have no score, and those that a page marks as its article have a higher one.
-
-The blocks of content paths then locate the article: the marked elements if some of those blocks lie there, otherwise
-the smallest structural element with most of their text. An article's short blocks, as subheadings and list items, have
-low ratios of their own; all blocks of the article that aren't excluded are kept.
+A page is read in one pass into blocks, the text between two block-level tags, each with its path of tags and classes
+from the root. Over all blocks of a path, the length of text, the number of punctuation marks and the text outside
+links, for each block, are the path's ratios. In page order the ratios are smoothed over neighbouring blocks and fused
+into one score; a path whose blocks' mean score is over a share of the scores' deviation is a content path. What a page
+says of its elements weighs in: blocks in an article's or main element count more, those under a class or id that names
+adverts, comments and the like count less. Both only change the score; long texts outvote a class name. Elements that
+are no part of an article by HTML's own definition, as navigation, forms and scripts, aren't read at all.
+
+The content paths then locate the article: the smallest structural element with most of their text. An article's short
+blocks, as subheadings and list items, have low ratios of their own; all blocks of that element are kept, but for those
+under a naming class within it whose path is no content path.
+
+Reading takes time linear in the page, however deep or broken its tags are: open elements are found by their tag, paths
+are numbers, and a tag that never closes is looked for once.
 """
 
 from __future__ import annotations
@@ -26,149 +31,227 @@ from pyspark.sql import functions as F
 
 #: Share of the scores' standard deviation that a content path has to reach.
 THRESHOLD = 0.5
-#: How much more the score of a block counts in an element marked as an article.
-MARK = 4
+#: Factors of a block's score in an article's element, and under a class or id that names what is no article.
+MARK, HINT = 2.0, 0.05
 #: Share of the content paths' text that the article's element has to hold.
 MOST = 0.8
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?。、，]")
-# HTML's void, raw-text and block-level elements, and those that a start tag closes.
+# HTML's void, raw-text and inline elements, those that a start tag closes, and those that bound such closing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br button canvas cite code data del dfn em embed font i iframe img input ins kbd label map mark meter object picture progress q rp rt "
+    "ruby s samp script select small span strike strong style sub sup svg template textarea time tt u var wbr".split()
+)
 CLOSES = {
-    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"),
-    "th": ("td", "th"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("td", "th", "tr"), "td": ("td", "th"),
+    "th": ("td", "th"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",), "body": ("head",),
 }
 SCOPE = frozenset("table ul ol dl select article section div body html td th".split())
+CELLS = frozenset("table td th caption html".split())
 STRUCTURE = frozenset("html body main article section div center td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Elements that are no part of an article.
-EXCLUDED_TAGS = frozenset("head script style noscript template nav header footer aside form button select option textarea iframe object embed svg canvas dialog menu audio video map".split())
+#: Elements and roles that are no part of an article by their definition; a header is, within an article.
+EXCLUDED_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object embed svg canvas dialog menu audio video map title noembed noframes".split())
 EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar status".split())
-#: Words of class names and ids that mark such elements.
-EXCLUDED_WORDS = frozenset(
+#: Words that name what is no article, and words that may stand beside them in such a name. Any other word, as in related-work, makes it another name.
+NAMING = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login sidebar side aside nav navbar navigation menu menus breadcrumb breadcrumbs header footer "
-    "masthead comment comments disqus respond reply replies share sharing social related recommended recommendations widget widgets toolbar pagination pager skip hidden".split()
+    "alert popup modal newsletter subscribe subscription signup login sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead "
+    "comment comments disqus reply replies share sharing social related recommended recommendations widget widgets toolbar pagination pager".split()
+)
+BESIDE = frozenset(
+    "area articles bar block bottom box btn button buttons container content external feed form group header icons inner item items left links list main more news outer page panel post posts right "
+    "row section site slot story stories thread title top unit wrap wrapper".split()
 )
-_WORD = re.compile("[A-Za-z][a-z]*|[0-9]+")
+READERS, SAYINGS = frozenset("user users reader readers visitor visitors guest customer".split()), frozenset("comment comments discussion feedback notes opinions posts replies reviews".split())
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
-@dataclass
+def names_no_article(names: str) -> bool:
+    """Whether one of a class attribute's names, or an id, stands for something beside the article."""
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & NAMING and words <= NAMING | BESIDE or words & READERS and words & SAYINGS and words <= READERS | SAYINGS | BESIDE:
+            return True
+    return False
+
+
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
     text: str
-    excluded: bool
+    #: Characters of the text that are in links.
+    linked: int
     marked: bool
-    #: The element that the block lies in, as its place in Page.elements.
-    element: int = 0
+    #: The element that the block lies in, as its place in the page's lists.
+    element: int
 
 
 @dataclass
 class Page:
-    """Blocks and elements in their order; an element is (its parent's place, its tag), and the first is the page itself."""
+    """Blocks and elements in their order. Of each element: its parent, its tag, and the innermost element around it, or itself, with a naming class (0: none). The first is the page itself."""
 
     blocks: list[Block] = field(default_factory=list)
-    elements: list[tuple[int, str]] = field(default_factory=lambda: [(0, "")])
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    hint: list[int] = field(default_factory=lambda: [0])
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    step: str
+    path: int
+    element: int
     excluded: bool
     marked: bool
-    element: int
 
 
-@dataclass
 class _Reader:
-    page: Page = field(default_factory=Page)
-    stack: list[_Open] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
+    """The open elements and the text of the block that is being read."""
+
+    def __init__(self) -> None:
+        self.page, self.stack = Page(), [_Open("", 0, 0, False, False)]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # by tag, the places of its open elements in the stack
+        self.scopes, self.cells, self.blocks = [0], [0], [0]  # places of open elements of these kinds
+        self.paths: dict[tuple[int, str, str], int] = {}
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def add(self, text: str) -> None:
+        if not self.stack[-1].excluded:
+            self.parts.append(text)
+            if self.places["a"]:
+                self.linked += len(text)
 
     def end_block(self) -> None:
-        if self.text:
-            text = _SPACE.sub(" ", "".join(self.text)).strip()
-            self.text.clear()
+        if self.parts:
+            text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                top = self.stack[-1] if self.stack else None
-                path = "/".join(x.step for x in self.stack if x.tag not in INLINE)
-                self.page.blocks.append(Block(path, text, bool(top and top.excluded), bool(top and top.marked), top.element if top else 0))
-
-    def opened(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
+                top = self.stack[-1]
+                self.page.blocks.append(Block(top.path, text, min(self.linked, len(text)), top.marked, top.element))
+            self.parts.clear()
+        self.linked = 0
+
+    def pop_to(self, place: int) -> None:
+        """Closes the open elements from a place of the stack on."""
+        if self.blocks[-1] >= place:
             self.end_block()
-            if any(x.tag == "p" for x in self.stack) and tag not in ("td", "th", "li"):
-                self.close("p", SCOPE - {"p"})
+        for k in range(len(self.stack) - 1, place - 1, -1):
+            self.places[self.stack[k].tag].pop()
+            for kind in (self.scopes, self.cells, self.blocks):
+                if kind[-1] == k:
+                    kind.pop()
+        del self.stack[place:]
+
+    def opened(self, tag: str, named: dict[str, str]) -> None:
+        inline = tag in INLINE
+        if not inline:
+            self.end_block()
+            if (p := self.places["p"]) and p[-1] > self.scopes[-1] and tag not in ("td", "th", "tr"):
+                self.pop_to(p[-1])
+            bound = self.scopes[-2] if tag in ("td", "th", "tr") and self.stack[self.scopes[-1]].tag in ("td", "th") else self.scopes[-1]
             for other in CLOSES.get(tag, ()):
-                self.close(other, SCOPE - {other})
+                if (o := self.places[other]) and o[-1] > min(bound, self.scopes[-1]):
+                    self.pop_to(o[-1])
         if tag in VOID:
-            if tag in ("br", "hr", "wbr") and tag != "wbr":
-                self.text.append(" ")
+            if tag == "br":
+                self.add(" ")
             return
-        named = {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
-        top = self.stack[-1] if self.stack else None
-        words = {w.lower() for k in ("class", "id") for w in _WORD.findall(named.get(k, ""))} if tag not in ("html", "body", "article", "main") else set()
-        style = named.get("style", "").replace(" ", "").lower()
-        excluded = bool(top and top.excluded) or tag in EXCLUDED_TAGS or named.get("role", "").lower() in EXCLUDED_ROLES or bool(words & EXCLUDED_WORDS)
-        excluded = excluded or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-        marked = bool(top and top.marked) or tag in ("article", "main") or named.get("role", "").lower() in ("main", "article") or named.get("itemprop", "").lower() == "articlebody"
-        step = tag + "".join(f".{x}" for x in sorted(words))
-        if excluded != bool(top and top.excluded) or marked != bool(top and top.marked):
-            self.end_block()
-        element = top.element if top else 0
-        if tag not in INLINE:
-            self.page.elements.append((element, tag))
-            element = len(self.page.elements) - 1
-        self.stack.append(_Open(tag, step, excluded, marked, element))
-
-    def close(self, tag: str, scope: frozenset[str] = frozenset()) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                below = self.stack[k - 1] if k else None
-                same = bool(below and below.excluded) == self.stack[-1].excluded and bool(below and below.marked) == self.stack[-1].marked
-                if not same or any(x.tag not in INLINE for x in self.stack[k:]):
-                    self.end_block()
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in scope:
-                return
-        if tag not in INLINE:
+        top, page = self.stack[-1], self.page
+        excluded = top.excluded or tag in EXCLUDED_TAGS or tag == "header" and not self.places["article"]
+        marked, path, element = top.marked or tag in ("article", "main"), top.path, top.element
+        if named and not excluded:
+            role, style = named.get("role", "").lower(), _SPACE.sub("", named.get("style", "")).lower()
+            excluded = role in EXCLUDED_ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+            marked = marked or role in ("main", "article") or named.get("itemprop", "").lower() == "articlebody"
+        if not inline:
+            names = named.get("class", "")
+            path = self.paths.setdefault((path, tag, names), len(self.paths) + 1)
+            page.parent.append(element)
+            page.tag.append(tag)
+            own = len(page.tag) - 1
+            told = tag not in ("html", "body", "article", "main") and bool(named) and names_no_article(f"{names} {named.get('id', '')}")
+            page.hint.append(own if told else page.hint[element])
+            element = own
+        place = len(self.stack)
+        self.stack.append(_Open(tag, path, element, excluded, marked))
+        self.places[tag].append(place)
+        for kind, among in ((self.scopes, tag in SCOPE), (self.cells, tag in CELLS), (self.blocks, not inline)):
+            if among:
+                kind.append(place)
+
+    def closed(self, tag: str) -> None:
+        """An end tag; one without an open element of its own, or from within a table's cell for one around it, closes nothing."""
+        place = self.places[tag][-1] if self.places[tag] else -1
+        if tag in INLINE:
+            if place > self.blocks[-1]:
+                self.pop_to(place)
+        elif place >= self.cells[-1] or tag in CELLS and place > 0:
+            self.pop_to(place)
+        else:
             self.end_block()
 
 
 def read(page: str) -> Page:
     """The blocks and elements of a page; a tag that is never closed, or closed twice, does no harm."""
-    reader, at, low = _Reader(), 0, None
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
+    reader, at, size, never = _Reader(), 0, len(page), set()
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
             break
-        if m.start() > at:
-            reader.text.append(references.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                reader.text.append(m[0][9:].removesuffix("]]>"))
+        if start > at:
+            reader.add(references.unescape(page[at:start]))
+        m = _NAME.match(page, start)
+        if not m:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                reader.add(page[start + 9 : size if end < 0 else end])
+                at = size if end < 0 else end + 3
+            elif page.startswith(("<!", "<?", "</"), start):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+            else:
+                reader.add("<")
+                at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            reader.close(tag) if tag not in VOID else reader.text.append(" ")
+        at, named, tag = m.end(), {}, m[2].lower()
+        if page.startswith(">", at):
+            at += 1
         else:
-            reader.opened(tag, m[3])
-            if tag in RAW:
-                low = page.lower() if low is None and len(page.lower()) == len(page) else low
-                end = low.find(f"</{tag}", at) if low is not None else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
-                if tag in ("textarea", "title") and end > at:
-                    reader.text.append(references.unescape(page[at:end]))
-                at = end if end >= 0 else len(page)
-            elif m[3].endswith("/") and tag not in VOID and tag not in INLINE and tag in ("svg", "path"):
-                reader.close(tag)
-    reader.text.append(references.unescape(page[at:]))
+            while True:
+                a = _ATTRIBUTE.match(page, at)
+                if a.end() == at or a.end() == size and not a[1]:
+                    at = size  # the page ends within the tag
+                    break
+                at = a.end()
+                if a[1]:
+                    break
+                value = a[3] or a[4] or a[5] or ""
+                named.setdefault(a[2].lower(), references.unescape(value))
+            if at == size and page[-1] != ">":
+                break
+        if m[1]:
+            if tag not in VOID:
+                reader.closed(tag)
+            elif tag == "br":
+                reader.add(" ")
+            continue
+        reader.opened(tag, named)
+        if tag in RAW and tag not in never:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            if end:
+                at = end.start()
+            else:
+                never.add(tag)
+    if at < size:
+        reader.add(references.unescape(page[at:]))
     reader.end_block()
     return reader.page
 
@@ -179,73 +262,76 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def content_paths(found: list[Block], threshold: float = THRESHOLD) -> set[str]:
+def content_paths(page: Page, threshold: float = THRESHOLD) -> set[int]:
     """The paths of the blocks that the ratios take for content; the best one if none reaches the threshold."""
+    found = page.blocks
     if not found:
         return set()
-    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
-        length[b.path] += len(b.text)
-        marks[b.path] += len(_PUNCTUATION.findall(b.text))
-        number[b.path] += 1
-    text = _smooth(np.array([length[b.path] / number[b.path] for b in found]))
-    stops = _smooth(np.array([marks[b.path] / number[b.path] for b in found]))
-    score = text * (1 + stops) * np.array([MARK if b.marked else 1 for b in found])
-    by_path = defaultdict(list)
-    for b, s in zip(found, score.tolist(), strict=True):
-        by_path[b.path].append(s)
-    mean = {p: sum(own) / len(own) for p, own in by_path.items()}
-    limit = min(threshold * score.std(), max(mean.values()))
-    return {p for p, m in mean.items() if m >= limit}
-
-
-def _inside(page: Page, element: int) -> list[bool]:
-    """Whether each element is the given one or within it; parents come before their children."""
-    out = [False] * len(page.elements)
-    for k, (parent, _) in enumerate(page.elements):
-        out[k] = k == element or (k > 0 and out[parent])
-    return out
+    paths, which = np.unique(np.array([b.path for b in found]), return_inverse=True)
+    number = np.bincount(which)
+
+    def ratio(values: list[int]) -> np.ndarray:
+        """The mean of its path for each block, smoothed over neighbouring blocks."""
+        return _smooth((np.bincount(which, weights=np.array(values, float)) / number)[which])
 
+    length = [len(b.text) for b in found]
+    free = ratio([n - b.linked for n, b in zip(length, found, strict=True)]) / ratio(length)
+    weight = np.array([(MARK if b.marked else 1.0) * (HINT if page.hint[b.element] else 1.0) for b in found])
+    score = ratio(length) * (1 + ratio([len(_PUNCTUATION.findall(b.text)) for b in found])) * free * weight
+    mean = np.bincount(which, weights=score) / number
+    return set(paths[mean >= min(threshold * score.std(), mean.max())].tolist())
 
-def article(page: Page, found: list[Block], paths: set[str]) -> int:
+
+def article(page: Page, paths: set[int]) -> int:
     """The smallest structural element with most text of the content paths, and with the headings next to it."""
-    weight, number = [0] * len(page.elements), [0] * len(page.elements)
+    parent, tag, found = page.parent, page.tag, page.blocks
+    weight = [0] * len(parent)
     for b in found:
         weight[b.element] += len(b.text) if b.path in paths else 0
-        number[b.element] += 1
     for k in range(len(weight) - 1, 0, -1):
-        weight[page.elements[k][0]] += weight[k]
-        number[page.elements[k][0]] += number[k]
+        weight[parent[k]] += weight[k]
     at = max(k for k, w in enumerate(weight) if w >= MOST * weight[0])
-    while at and page.elements[at][1] not in STRUCTURE:
-        at = page.elements[at][0]
-    while at and page.elements[up := page.elements[at][0]][1] in STRUCTURE - {"html", "body"}:
-        if number[up] > number[at]:
-            own, wider = _inside(page, at), _inside(page, up)
-            more = [b for b in found if wider[b.element] and not own[b.element]]
-            if not all(b.path in paths or page.elements[b.element][1] in HEADINGS for b in more):
-                break
+    while at and tag[at] not in STRUCTURE:
+        at = parent[at]
+    chain = [at]
+    while chain[-1]:
+        chain.append(parent[chain[-1]])
+    level = {k: i for i, k in enumerate(chain)}  # of each element: the first of the chain that it is in
+    for k in range(1, len(parent)):
+        level.setdefault(k, level[parent[k]])
+    more = defaultdict(list)
+    for b in found:
+        more[level[b.element]].append(b)
+    for i, up in enumerate(chain[1:], 1):
+        if tag[up] not in STRUCTURE - {"html", "body"} or not all(b.path in paths or tag[b.element] in HEADINGS for b in more[i]):
+            break
         at = up
     return at
 
 
+def _within(page: Page, element: int) -> list[bool]:
+    """Whether each element is the given one or lies in it; parents come before their children."""
+    out = [False] * len(page.parent)
+    for k, parent in enumerate(page.parent):
+        out[k] = k == element or k > 0 and out[parent]
+    return out
+
+
 def content(page: Page, threshold: float = THRESHOLD) -> list[Block]:
     """The blocks of the page's article."""
-    found = [b for b in page.blocks if not b.excluded]
-    paths = content_paths(found, threshold)
-    if any(b.marked and b.path in paths for b in found):
-        return [b for b in found if b.marked]
+    found, paths = page.blocks, content_paths(page, threshold)
     if not found:
         return []
-    at = article(page, found, paths)
-    if page.elements[at][1] in ("", "html", "body"):  # the article has no element of its own
+    at = article(page, paths)
+    if page.tag[at] in ("", "html", "body"):  # the article has no element of its own
         place = [k for k, b in enumerate(found) if b.path in paths]
         first = place[0]
-        while first and page.elements[found[first - 1].element][1] in HEADINGS:
+        while first and page.tag[found[first - 1].element] in HEADINGS:
             first -= 1
-        return found[first : place[-1] + 1]
-    own = _inside(page, at)
-    return [b for b in found if own[b.element]]
+        found, at = found[first : place[-1] + 1], 0
+    inside = _within(page, at)
+    told = lambda b: page.hint[b.element] not in (0, at) and inside[page.hint[b.element]]
+    return [b for b in found if inside[b.element] and (b.path in paths or not told(b))]
 
 
 def main_text(page: str | None) -> str:
@@ -263,6 +349,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of pages(page_id, url, html); a null page has an empty text."""
+    """(page_id, url, text, n_chars) of each row of pages(page_id, url, html).
+
+    A null or empty page has an empty text. Very long and malformed pages take time in proportion to their length.
+    Repeated rows come out repeated, null ids as null, and an empty table gives no row; other columns are left out.
+    """
     source = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return source.mapInArrow(_extracted, "page_id bigint, url string, text string, n_chars bigint")

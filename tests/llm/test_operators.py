@@ -4,10 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -396,3 +399,60 @@ def test_html_article_without_a_mark():
     assert html.main_text(split) == wanted
     assert html.main_text("<div>" * 5000 + "x") == "x"
     assert [html.main_text(x) for x in ("", "plain", "<p>a", "<nav>menu</nav>", "<article><nav>menu</nav></article>")] == ["", "plain", "a", "", ""]
+
+
+class _Article(HTMLParser):
+    """An independent reader of the test pages: the text of the article element by blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("a", "b", "i", "em", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.blocks.append("")
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.depth else ""
+
+
+def test_html_equals_an_independent_reader():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    found = both = wanted = 0
+    for page in pages:
+        reader = _Article()
+        reader.feed(page)
+        blocks = [" ".join(x.split()) for x in reader.blocks]
+        expected = [x for x in blocks if x]
+        assert html.main_text(page) == "\n\n".join(expected)
+        got = html.main_text(re.sub(r"<(/?)article", r"<\1div", page)).split("\n\n")  # the ratios alone
+        common = collections.Counter(got) & collections.Counter(expected)
+        found, both, wanted = found + sum(map(len, got)), both + sum(len(k) * n for k, n in common.items()), wanted + sum(map(len, expected))
+    assert both > 0.99 * found and both > 0.99 * wanted
+
+
+def test_html_names_only_weigh_in():
+    long = "<p>" + "Long text, with words. " * 10 + "</p>"
+    text = lambda body: html.main_text(f"<article>{long}{body}{long}</article>")
+    assert "Hello there" in html.main_text('<p title="5" tall">Hello there') and "tall" not in html.main_text('<p title="5" tall">Hello there')
+    assert "By others" in text('<div class="related-work"><p>By others, and more of it.</p></div>') and "Up by 5." in text('<p class="share-price">Up by 5.</p>')
+    assert "like it" not in text('<div class="user-notes"><p>I like it, so much.</p></div>') and "Buy" not in text('<div class="ad">Buy, now.</div>')
+    for name in ("overflow-hidden", "has-sidebar", "no-comments", "sticky-header", "social-layout"):
+        found = html.main_text(f'<body><nav>x</nav><div class="{name}"><h2>Head</h2>{long}<h3>Sub</h3><p>Short.</p></div><div>foot</div></body>')
+        assert found.startswith("Head\n\nLong") and found.endswith("Sub\n\nShort."), name
+
+
+@pytest.mark.parametrize("unit", ['<a href="x ', "<div>x", "<li><b>", "<title>", "<p>x<b>", "<table><tr><td>", "<a b='c", "<!-- ", "<script>", "</i><b>", "< ", "<div><p>x</div>", "<p a "])
+def test_html_is_linear(unit):
+    """A megabyte of broken or deep tags takes seconds; the reader of each of them was quadratic once, or could be."""
+    begin = time.perf_counter()
+    html.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - begin < 20
