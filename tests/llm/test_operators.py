@@ -240,11 +240,33 @@ def test_quality(docs, spark):
     assert not any(r.kept and r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == {1, 7, 8, 9}
     kept = quality.kept(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 7, 8, 9}
-    order = [rule.name for rule, _, _ in quality.ordered(every)]
-    assert sorted(order) == sorted(r.name for r in quality.RULES)
+    order = quality.ordered(every)
+    assert sorted(rule.name for rule, _, _ in order) == sorted(r.name for r in quality.RULES)
+    assert [(r.name, *x) for r, *x in order] == [(r.name, *x) for r, *x in quality.ordered(every.repartition(7))]  # of the table alone
+    rates = [share / cost for _, share, cost in order]
+    assert rates == sorted(rates, reverse=True)
+    with pytest.raises(ValueError, match="rejected_by"):
+        quality.judged(docs.withColumn("rejected_by", F.lit(1)))
     assert quality.counts(docs.limit(0)).isEmpty() and quality.judged(docs).where("rejected_by is null").count() == 4
 
 
+def test_quality_cascade_is_short(spark):
+    """A rule is not evaluated where an earlier one rejects: the dear one fails there if it is."""
+    fails = quality.Rule("dear", lambda c: F.raise_error(F.lit("reached")).cast("boolean"))
+    few, cheap = quality.Rule("few", lambda c: c("n_words") < 3), [quality.Rule("few", lambda c: c("n_words") < 3), fails]
+    short = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    told = short.select(quality._of(F.col("text"), lambda c: quality.verdict(cheap, c)).alias("x"))
+    assert [r.x for r in told.collect()] == ["few", "few"]
+    with pytest.raises(Exception, match="reached"):
+        spark.createDataFrame([("a b c d",)], "text string").select(quality._of(F.col("text"), lambda c: quality.verdict([few, fails], c))).collect()
+
+
+def test_quality_sample_is_of_the_table(spark):
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(5000)], "doc_id long, text string").repartition(6)
+    some = quality.sampled(rows, 500)
+    assert 300 < some.count() < 700 and sorted(some.collect()) == sorted(quality.sampled(rows.coalesce(1), 500).collect())
+
+
 def _print(text):
     w = _words("".join(c.lower() if c < "\x80" else c for c in text or ""))
     hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
