@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of two replicas of all pages as WARC archives, the second one with the damage of a drill."""
     pages = _table(spark, sf_dir, "pages")
-    return warc.audit(warc.archived(pages), warc.archived(warc.drill(pages)))
+    return warc.audited(pages, warc.drill(pages))
 
 
 def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:

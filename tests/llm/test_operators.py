@@ -348,19 +348,41 @@ def test_chats(spark):
     assert chats.rendered(own.limit(0)).isEmpty()
 
 
-def test_warc_audit(spark):
-    pages = spark.createDataFrame(
-        [(k, f"http://x/{k}", f"<p>page {k} é</p>") for k in range(2100)] + [(None, "http://y/", "z"), (None, None, None), (5, "http://x/5", "<p>page 5 é</p>")],
-        "page_id long, url string, html string",
-    ).coalesce(2)
-    ours = warc.archived(pages).persist()
-    assert ours.count() == 2103
-    got = {(r.file_id, r.position): r.status for r in warc.audit(ours, warc.archived(warc.drill(pages))).collect()}
-    assert collections.Counter(got.values()) == {"intact": 2103 - 4, "corrupt": 4}  # pages 5 (twice), 1002 and 1999
-    short = ours.where("not (file_id = 1 and position >= 990)")
-    told = collections.Counter(r.status for r in warc.audit(ours, short).collect())
-    assert told == {"intact": 2093, "missing": 10}
-    assert warc.audit(ours.limit(0), ours.limit(0)).isEmpty()
+def _audited(spark, ours, theirs):
+    table = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string, position int, hash int").repartition(3)
+    rows = warc.audited(table([(*r, 1, 1) for r in ours]), table([(*r, 1, 1) for r in theirs])).collect()
+    return [r for r in rows if r.status == "intact"], sorted(((r.status, r.page_id, r.url) for r in rows if r.status != "intact"), key=str)
+
+
+def test_warc_audit_locates_each_damage(spark):
+    ours = [(k, f"http://x/{k}", f"<p>page {k} é</p>") for k in range(2100)] + [(None, "http://y/", "z"), (None, None, None), (5, "http://x/5", "<p>page 5 é</p>")]
+    ours += [(3000, "http://hot/", "same")] * 40 + [(3000, f"http://hot/{k}", "other") for k in range(1500)]  # an archive's worth of one id, and copies
+    intact, told = _audited(spark, ours, ours)
+    assert len(intact) == len(ours) and not told
+    order = {(r.file_id, r.position): r for r in intact}
+    assert len(order) == len(ours) and all(r.offset == 0 for r in intact if r.position == 0)
+    assert all(order[f, p - 1].offset + order[f, p - 1].length == r.offset for (f, p), r in order.items() if p)
+    theirs = [r for r in ours if r[0] != 100]  # one lost, one added, two swapped, one damaged, and a copy less
+    theirs = [r if r[0] not in (7, 8) else (r[0], r[1], f"<p>page {15 - r[0]} é</p>") for r in theirs] + [(1500, "http://new/", "n")]
+    theirs = [(*r[:2], "#" + r[2][1:]) if r[0] == 1999 else r for r in theirs]
+    theirs.remove((3000, "http://hot/", "same"))
+    theirs.remove((None, None, None))
+    intact, told = _audited(spark, ours, theirs)
+    assert told == sorted([
+        ("missing", 100, "http://x/100"), ("extra", 1500, "http://new/"), ("corrupt", 7, "http://x/7"), ("corrupt", 8, "http://x/8"),
+        ("corrupt", 1999, "http://x/1999"), ("missing", 3000, "http://hot/"), ("missing", None, ""),
+    ], key=str) and len(intact) == len(ours) - 6
+    assert _audited(spark, [], []) == ([], []) and [x[0] for x in _audited(spark, ours[:30], [])[1]] == ["missing"] * 30
+
+
+def test_warc_descent_enters_few_branches(spark):
+    """Of 1,000 records of an archive with one lost, the descent compares a node's worth and not the archive."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}</p>") for k in range(1000)], "page_id long, url string, html string")
+    ours, theirs = (warc.listed(x) for x in (pages, pages.where("page_id <> 500")))
+    parts = warc.parts_of(ours)
+    here, there = warc.differing(warc.archived(ours, parts), warc.archived(theirs, parts))
+    assert [r.page_id for r in here.collect()] == [500] and there.isEmpty()
+    assert len(warc.tree(warc.archived(ours, parts))) >= 3
 
 
 def test_html(spark):
