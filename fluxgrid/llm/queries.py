@@ -19,8 +19,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known licences that documents are, or have as a line."""
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    """Known licences that documents are as a whole, and notices of them that documents have."""
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs).unionByName(licenses.notices(docs))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

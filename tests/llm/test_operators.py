@@ -85,13 +85,39 @@ def test_containment_equals_brute_force():
     assert {(r, index.ids[i]) for r, i, _, _ in decontaminate.search(pa.array(rows), index)} == expected
 
 
-def test_licenses(docs, spark):
-    got = {(r.doc_id, r.license_id, r.scope): r.n for r in licenses.scan(docs).collect()}
-    assert got == {(10, "MIT", "text"): 1, (10, "MIT", "line"): 1, (11, "Apache-2.0", "line"): 1}
-    whole = "The MIT License (MIT)\n\nCopyright (c) 2021 Some One\n\n" + licenses._MIT.lower().replace("copyright holders", "Copyright Owners").replace("\n\n", "\n \n")
-    text = spark.createDataFrame([(1, whole), (2, whole + " and more")], "doc_id int, text string")
-    assert [(r.doc_id, r.license_id, r.scope) for r in licenses.scan(text).collect()] == [(1, "MIT", "text")]
-    assert licenses.scan(docs.limit(0)).isEmpty()
+def _rewritten(text, rng):
+    """The same licence as another file might have it."""
+    lines = ["Copyright (c) 2021 Some One", "Copyright Foo Inc. 2020", "© 1999-2024 The Authors", ""]
+    for paragraph in re.split(r"\n\s*\n", text):
+        words = re.sub(r"^\s*(\d\.|\*)\s+", lambda m: rng.choice(["* ", "- ", "1) ", "a. "]), paragraph).split()
+        width = rng.randrange(6, 15)
+        lines += [" ".join(words[k : k + width]) for k in range(0, len(words), width)] + [" "]
+    return "\r\n".join(lines).replace('"', "“").replace("authorization", "authorisation").swapcase()
+
+
+def test_licenses_equal_brute_force(docs, spark):
+    """Every known text, and every notice, is found in other clothes, and not with a word changed."""
+    rng = random.Random(5)
+    assert licenses.scan(docs).isEmpty()
+    got = {(r.doc_id, r.license_id, r.scope): r.n for r in licenses.notices(docs).collect()}
+    assert got == {(10, "MIT", "notice"): 1, (11, "Apache-2.0", "notice"): 1}
+    known, rows, expected = licenses.known_texts(), [], set()
+    for k, (name, text) in enumerate(known):
+        plain = text if name not in ("GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Artistic-1.0", "Apache-2.0", "CC0-1.0") else None
+        rows += [(4 * k, text), (4 * k + 1, _rewritten(plain, rng) if plain else text.upper().replace("\n", "\r\n")), (4 * k + 2, text + " more"), (4 * k + 3, re.sub(r"(?i)license", "permit", text, count=1) + " permit")]
+        expected |= {(4 * k, name), (4 * k + 1, name)}
+    forms = collections.defaultdict(set)
+    for name, text in known:
+        forms[licenses.canonical(text)].add(name)
+    assert {(i, n) for i, t in rows for n in forms.get(licenses.canonical(t), ())} == expected  # by the forms themselves
+    table = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    assert {(r.doc_id, r.license_id) for r in licenses.scan(table).collect()} == expected
+    assert {(r.doc_id, r.license_id) for r in licenses.scan(table, licenses.known_licenses(spark)).collect()} == expected
+    wrapped = [(k, f"Text before.\n\n{notice.replace(' ', chr(10), 1)}\n\nText after.") for k, (_, notice) in enumerate(licenses.NOTICES)]
+    found = {(r.doc_id, r.license_id) for r in licenses.notices(spark.createDataFrame(wrapped, "doc_id int, text string")).collect()}
+    assert found == {(k, name) for k, (name, _) in enumerate(licenses.NOTICES)}
+    for empty in (licenses.scan(docs.limit(0)), licenses.notices(docs.limit(0)), licenses.scan(docs, licenses.known_licenses(spark).limit(0))):
+        assert empty.isEmpty()
 
 
 def _base(text):
