@@ -7,7 +7,8 @@ entity e, n(e, t) with both it and the term t, wherever in the text, and n(t) wi
     PMI(e; t) = log2(n(e, t) / n(e) * N / n(t)) bits of the log2(N / n(e)) bits that the entity has.
 
 A term whose share is over a threshold is generalised, over a higher one removed, at all its places in each document
-that has the entity. Only terms that two texts or more share with the entity are weighed, as a single one is no
+that has the entity. What it is generalised to comes from the corpus: of the terms that all texts with the entity have
+and that don't disclose it themselves, the most specific, which is that of the fewest texts. Only terms that two texts or more share with the entity are weighed, as a single one is no
 evidence; texts that are the same count once, so that copies of a document don't vouch for each other. Any word outside
 protected spans is a term: common ones tell too little, by the same measure.
 """
@@ -15,11 +16,11 @@ protected spans is a term: common ones tell too little, by the same measure.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Distinct texts that an entity and a term have to share.
 TEXTS = 2
 GENERALISE, REMOVE = 0.5, 0.8
-#: Terms that one pass over the documents counts; more of them take more passes.
-BLOCK_TERMS = 1_000_000
+#: Distinct words that a task holds the counts of before it passes them on.
+HELD = 1_000_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -108,7 +109,7 @@ def terms(text: str, spans: dict[str, list[Span]]) -> Iterator[tuple[str, int, i
             yield _lower(m[0]), s, e
 
 
-FOUND = "key bigint, same bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>"
+FOUND = "key string, same string, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +135,16 @@ def _own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([own], pa.list_(pa.string()))], ["entities", "terms"])
 
 
-_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string()), ("instead", pa.string())]))
+_TERMS = "key string, terms array<struct<start:bigint,end:bigint,action:string,instead:string>>"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, told in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            action = {x["term"]: x["action"] for x in told}
-            out.append([{"start": s, "end": e, "action": action[t]} for t, s, e in terms(text, base_spans(text)) if t in action])
+            change = {x["term"]: {"action": x["action"], "instead": x["instead"]} for x in told}
+            out.append([{"start": s, "end": e, **change[t]} for t, s, e in terms(text, base_spans(text)) if t in change])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _PLACES)], ["key", "terms"])
 
 
@@ -159,49 +161,72 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def _same() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """Equal for equal texts; a null is an empty one."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
 def _key() -> Column:
     """A key that rows share only if they have the same id and text."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")), _same())
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, hash) of rows (term)."""
+    for batch in batches:
+        parts = [np.zeros(0, np.uint64)]
+        parts += [W.word_hashes(W.BY_SIGN[data], *W.spans(W.BY_SIGN[data], offsets)) for _, _, data, offsets in W.blocks(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["term", "hash"])
+
+
+def _counted(wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(hash, n): in how many rows (text) words of wanted prefixes stand; a task gives a word once for every HELD words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, counts = wanted.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["hash", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in W.blocks(batch.column(0)):
+                folded = W.BY_SIGN[data]
+                starts, ends = W.spans(folded, offsets)
+                words = W.word_hashes(folded, starts, ends)
+                hit = bits[(words >> _PREFIX).astype(np.int64)]
+                own, place = np.unique(words[hit], return_inverse=True)
+                pairs = np.unique(np.searchsorted(offsets, starts[hit], "right") * max(1, len(own)) + place)
+                n = np.bincount(pairs % max(1, len(own)), minlength=len(own)) if len(own) else counts[:0]
+                held, place = np.unique(np.concatenate((held, own)), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate((counts, n)), minlength=len(held)).astype(np.int64)
+                if len(held) > HELD:
+                    yield out()
+                    held, counts = held[:0], counts[:0]
+        yield out()
+
+    return run
+
+
+_PREFIX = np.uint64(44)
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): the number of distinct texts of docs that have each term; the terms reach the executors in blocks."""
-    spark, n, docs = docs.sparkSession, terms.count(), _distinct_texts(docs)
-    passes, parts = max(1, -(-n // BLOCK_TERMS)), []
-    for k in range(passes):
-        own = sorted(r.term for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect())
-        hashes = np.zeros(0, np.uint64)
-        if own:
-            data = pa.array(own, pa.large_string())
-            hashes = np.concatenate([W.word_hashes(W.BY_SIGN[b], *W.spans(W.BY_SIGN[b], o)) for _, _, b, o in W.blocks(data)])
-        order = np.argsort(hashes)
-        shared = spark.sparkContext.broadcast((hashes[order], [own[i] for i in order]))
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, names = shared.value
-            total = np.zeros(len(hashes) + 1, np.int64)
-            for batch in batches if len(hashes) else ():
-                for _, _, data, offsets in W.blocks(batch.column(0)):
-                    folded = W.BY_SIGN[data]
-                    starts, ends = W.spans(folded, offsets)
-                    words = W.word_hashes(folded, starts, ends)
-                    place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-                    hit = np.flatnonzero(hashes[place] == words)
-                    row = np.searchsorted(offsets, starts[hit], "right")
-                    pairs = np.unique(row * len(hashes) + place[hit])
-                    total[:-1] += np.bincount(pairs % len(hashes), minlength=len(hashes))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in seen], pa.string()), pa.array(total[seen])], ["term", "n"])
-
-        parts.append(docs.select(F.col("text").cast("string")).mapInArrow(count, "term string, n bigint"))
-    return reduce(DataFrame.union, parts).groupBy("term").agg(F.sum("n").alias("n_t"))
+    """(term, n_t): the number of distinct texts of docs that have each of terms(term).
+
+    Words are counted in the tasks by their hash and added up by a shuffle. Which of 2^20 prefixes the terms' hashes
+    have is known to all tasks, so that few other words are counted; nothing else comes to the driver, however many
+    terms there are.
+    """
+    spark = docs.sparkSession
+    named = cut(terms.mapInArrow(_hashed, "term string, hash bigint"))
+    prefixes = named.select(F.shiftrightunsigned("hash", int(_PREFIX)).alias("p")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(1 << 20, bool)
+    bits[prefixes.astype(np.int64)] = True
+    counted = _distinct_texts(docs).mapInArrow(_counted(spark.sparkContext.broadcast(bits)), "hash bigint, n bigint")
+    return counted.groupBy("hash").agg(F.sum("n").alias("n_t")).join(named, "hash").select("term", "n_t")
 
 
 def revealing(docs: DataFrame, texts: DataFrame, own: DataFrame, total: int) -> DataFrame:
-    """(entity, term, action) of the terms that tell more than the threshold.
+    """(entity, term, action, instead) of the terms that tell more than the threshold; instead: the term that they are generalised to, or null.
 
     texts(entities, terms): the distinct texts with entities that several texts have; own(entity, n_e); total: all distinct texts.
     """
@@ -210,14 +235,14 @@ def revealing(docs: DataFrame, texts: DataFrame, own: DataFrame, total: int) ->
     by_term = _document_counts(docs, both.select("term").distinct())
     bits = F.log2(F.col("n_et") / F.col("n_e") * F.lit(float(total)) / F.col("n_t"))
     share = bits / F.greatest(F.log2(F.lit(float(total)) / F.col("n_e")), F.lit(1.0))
-    return (
-        both.join(by_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
-        .select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    )
+    weighed = cut(both.join(by_term, "term").withColumn("share", share))
+    broader = weighed.where((F.col("n_et") == F.col("n_e")) & (F.col("share") < GENERALISE)).groupBy("entity").agg(F.min(F.struct("n_t", "term")).alias("_broader"))
+    told = weighed.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    return told.join(broader, "entity", "left").select("entity", "term", "action", F.when(F.col("action") == "generalise", F.col("_broader.term")).alias("instead"))
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(what each row has, the terms to change in each key: key, terms array<struct<start, end, action>>)."""
+    """(what each row has, the terms to change in each key: key, terms array<struct<start, end, action, instead>>)."""
     source = docs.select(_key().alias("key"), _same().alias("same"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     found = cut(source.mapInArrow(_found, FOUND))
     total = found.select("same").distinct().count()
@@ -229,12 +254,10 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_terms = texts.join(keys, "key").dropDuplicates(["same"]).select("entities", "text").mapInArrow(_own_terms, "entities array<string>, terms array<string>")
     told = cut(revealing(docs, with_terms, own, total))
     changes = (
-        each.select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))
-        .groupBy("key").agg(F.collect_list(F.struct("term", "action")).alias("told"))
-    )
-    places = texts.join(changes, "key").select("key", "text", "told").mapInArrow(
-        _placed, "key bigint, terms array<struct<start:bigint,end:bigint,action:string>>"
+        each.select("key", "entity").distinct().join(told, "entity").groupBy("key", "term").agg(F.max(F.struct("action", "instead")).alias("_change"))
+        .groupBy("key").agg(F.collect_list(F.struct("term", "_change.action", "_change.instead")).alias("told"))
     )
+    places = texts.join(changes, "key").select("key", "text", "told").mapInArrow(_placed, _TERMS)
     return found, cut(places)
 
 
@@ -253,13 +276,13 @@ def spans(docs: DataFrame) -> DataFrame:
     ).withColumn("n_term", F.greatest("n_term", F.lit(0)))
 
 
-def redacted(text: str, terms: list[tuple[int, int, str]]) -> str:
-    """The text with placeholders for base spans and generalised terms, and without removed ones.
+def redacted(text: str, terms: list[tuple[int, int, str, str | None]]) -> str:
+    """The text with placeholders for base spans, broader terms in brackets for generalised ones, and without removed ones.
 
     Spans that overlap are replaced as one, by the placeholder of the first.
     """
     every = [(s, e, PLACEHOLDERS[kind]) for kind, own in base_spans(text).items() for s, e in own]
-    every += [(s, e, "" if action == "remove" else "[TERM]") for s, e, action in terms]
+    every += [(s, e, "" if action == "remove" else f"[{instead or 'TERM'}]") for s, e, action, instead in terms]
     out, at = [], 0
     for s, e, instead in sorted(every, key=lambda x: (x[0], -x[1])):
         if s >= at:
@@ -280,7 +303,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, at = batch.column("text").to_pylist(), names.index("text")
             marks = batch.column(mine + "_").to_pylist()
-            new = [None if t is None else redacted(t, [(x["start"], x["end"], x["action"]) for x in m or ()]) for t, m in zip(texts, marks, strict=True)]
+            new = [None if t is None else redacted(t, [(x["start"], x["end"], x["action"], x["instead"]) for x in m or ()]) for t, m in zip(texts, marks, strict=True)]
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(new, pa.string())
             if "n_chars" in names:
