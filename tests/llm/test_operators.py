@@ -368,10 +368,31 @@ def test_chats(spark):
         (None, 0, "user", "lost"), (8, 0, "user", "hi"), (8, 0, "user", "hi"), (9, None, "user", "hi"),
     ]
     own = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, n_turns int, _at int").coalesce(2)
-    got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chats.rendered(own).collect()}
-    assert set(got) == {2, 5, 6, 8} and got[2][:2] == (3, 2)
-    assert got[2][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
-    assert chats.rendered(own.limit(0)).isEmpty()
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.n_collapsed, r.text) for r in chats.rendered(own).collect()}
+    assert set(got) == {2, 5, 6, 8, None} and got[2][:3] == (3, 2, 3)  # 1, 3 and 9 are prefixes of 2 and 4, and of these 2 stands for them
+    assert got[2][3] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert got[None] == (1, 1, 0, "<|im_start|>user\nlost<|im_end|>\n") and got[6][:3] == (2, 1, 1)
+    assert {(r.conv_id, r.kept_id) for r in chats.members(own).collect()} == {(1, 2), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6), (7, 6), (8, 8), (9, 2), (None, None)}
+    assert chats.rendered(own.limit(0)).isEmpty() and chats.members(own.limit(0)).isEmpty()
+
+
+def test_chats_equal_brute_force(spark):
+    rng = random.Random(2)
+    logs = {}
+    for k in range(120):
+        base = logs[rng.randrange(k)] if k and rng.random() < 0.7 else []
+        logs[k] = base[: rng.randrange(len(base) + 1)] + [(rng.choice(["user", None]), rng.choice(["a", "b", None, "\0", ""])) for _ in range(rng.randrange(3))] or [("user", "a")]
+    rows = [(k, i, *turn) for k, log in logs.items() for i, turn in enumerate(log)] + [(None, 5, "user", "a"), (None, 5, "user", "a"), (None, 1, None, "z")]
+    every = [(k, log) for k, log in logs.items()] + [(None, [("user", "a")])] * 2 + [(None, [(None, "z")])]
+    kept, expected = collections.defaultdict(list), set()
+    for k, log in every:
+        if not any(len(o) > len(log) and o[: len(log)] == log for _, o in every):
+            kept[tuple(log)].append(k)
+    least = {log: min((k for k in ids if k is not None), default=None) for log, ids in kept.items()}
+    stood = collections.Counter(min((-len(o), least[o], o) for o in kept if o[: len(log)] == tuple(log) and least[o] is not None)[2] for _, log in every if log != [(None, "z")])
+    expected = {(least[log], len(log), len(ids), stood[log] - len(ids) if stood[log] else 0) for log, ids in kept.items()}
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    assert {(r.conv_id, r.n_turns, r.n_copies, r.n_collapsed) for r in chats.rendered(table).collect()} == expected
 
 
 def _audited(spark, ours, theirs):
