@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table to the shared folder and reads it again; all its tables go at the end.
+
+    For steps whose result is small, or cut() by itself, before the end: what is lazy must not read these tables later.
+    As Parquet they take less room than checkpoints, and only the columns in use are read.
+    """
+    folder, n = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def write(df: DataFrame) -> DataFrame:
+        nonlocal n
+        n += 1
+        df.write.option("compression", "zstd").parquet(f"{folder}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{n}")
+
+    try:
+        yield write
+    finally:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, with all it holds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimizer takes for df's size; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
