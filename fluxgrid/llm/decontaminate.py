@@ -4,14 +4,17 @@ A word is a run of ASCII letters and digits and of characters outside ASCII, wit
 words. An item is contained in a document if at least 0.8 of its distinct shingles occur there. An item of fewer than
 five words has one shingle, all its words.
 
-Items are partitioned by their number n of distinct shingles, and each size has its own sketch, the k smallest hashes
-of the item's shingles with k = n - ceil(0.8 n) + 1. A document that contains the item lacks at most n - ceil(0.8 n) of
-its shingles, so it has one of these k: the search has no false negatives, however long the document is. All shingles
-of each document are looked up in the sketches; where one is found, the item's and the document's shingles are compared
-as strings.
-
-The items are the query set. They reach the executors in blocks of a bounded number of shingles, so any number of them
-can be searched, with one pass over the documents for each block.
+Items are partitioned by size: the width of their shingles, and the power of two that their number n of distinct ones
+lies under. Each partition has its own sketch, of the k smallest hashes (bottom-k MinHash) of each item's shingles with
+k = n - ceil(0.8 n) + 1. A document that contains the item lacks at most n - ceil(0.8 n) of its shingles, so it has one
+of these k: the search has no false negatives, however long the document is. A sketch of the document couldn't do that,
+as few of its smallest hashes belong to a short item; so all its shingles are looked up, in the sketches of those
+partitions whose smallest item it has shingles enough to contain. Where one is found, the item's and the document's
+shingles are compared as strings.
+
+The items are the query set. They reach the executors in blocks of a bounded number of characters, as flat arrays of
+hashes and their texts, so any number of them can be searched, with one pass over the documents for each block. An item
+that is longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +36,32 @@ from fluxgrid.llm import words as W
 WIDTH = 5
 LEAST = 0.8
 #: Characters of items that one pass over the documents takes; larger sets of items take more passes.
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 16 << 20
 SCHEMA = "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint, containment double"
 
 
+@dataclass(frozen=True)
+class Partition:
+    """Items of one width of shingles and one class of sizes."""
+
+    width: int
+    #: How many shingles a document needs to contain the smallest item.
+    least: int
+    #: The sorted distinct hashes of the sketches; the items that have hash k are items[first[k] : first[k + 1]].
+    sketch: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+
+
 @dataclass(frozen=True)
 class Items:
-    """Sketches of a block of items, with what verifies them."""
+    """A block of items: their partitions, and what verifies them."""
 
     ids: list[int | None]
-    shingles: list[frozenset[bytes]]
-    #: By shingle width: the sorted hashes of all sketches, the hashes that each item's shingles have, and items by sketch hash.
-    sketch: dict[int, np.ndarray]
+    texts: list[str]
+    partitions: list[Partition]
+    #: By width: the sorted hashes that any item's shingles have.
     all_hashes: dict[int, np.ndarray]
-    holders: dict[int, dict[int, list[int]]]
 
 
 def least_found(n: int) -> int:
@@ -67,26 +82,34 @@ def _hashed(texts: pa.Array) -> Iterator[tuple]:
 
 
 def index(ids: list[int | None], texts: list[str | None]) -> Items:
-    """The sketches of the items; items without a word are left out, as no document can contain them."""
-    kept, sets, sketch, every = [], [], defaultdict(list), defaultdict(list)
-    holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for row, n, folded, starts, ends, hashes, first in _hashed(pa.array(texts, pa.large_string())):
+    """The partitions of the items; items without a word are left out, as no document can contain them."""
+    kept, sizes, sketches, every = [], [], defaultdict(list), defaultdict(list)
+    for row, n, _, starts, _, hashes, first in _hashed(pa.array(texts, pa.large_string())):
         for k in range(n):
             a, b = int(first[k]), int(first[k + 1])
             if a == b:
                 continue
             width = min(WIDTH, b - a)
-            _, found = W.shingle_hashes(hashes[a:b], np.array([0, b - a]), width)
-            own = np.unique(found)
-            size = len(own) - least_found(len(own)) + 1
-            for h in own[:size].tolist():
-                holders[width][h].append(len(kept))
-            sketch[width].append(own[:size])
+            own = np.unique(W.shingle_hashes(hashes[a:b], np.array([0, b - a]), width)[1])
+            sketches[width, len(own).bit_length()].append((len(kept), own[: len(own) - least_found(len(own)) + 1]))
             every[width].append(own)
-            sets.append(frozenset(_bytes(folded, starts, ends, at, width) for at in range(a, b - width + 1)))
-            kept.append(ids[row + k])
-    flat = lambda d: {w: np.unique(np.concatenate(x)) for w, x in d.items()}
-    return Items(kept, sets, flat(sketch), flat(every), {w: dict(x) for w, x in holders.items()})
+            kept.append(row + k)
+            sizes.append(len(own))
+    partitions = []
+    for (width, _), own in sorted(sketches.items()):
+        flat, holder = np.concatenate([x for _, x in own]), np.repeat([i for i, _ in own], [len(x) for _, x in own])
+        order = np.lexsort((holder, flat))
+        sketch, first = np.unique(flat[order], return_index=True)
+        partitions.append(Partition(width, least_found(min(sizes[i] for i, _ in own)), sketch, np.append(first, len(flat)), holder[order]))
+    flat = {w: np.unique(np.concatenate(x)) for w, x in every.items()}
+    return Items([ids[k] for k in kept], [texts[k] for k in kept], partitions, flat)
+
+
+@lru_cache(maxsize=4096)
+def _strings(text: str, width: int) -> frozenset[bytes]:
+    """The distinct shingles of an item."""
+    _, _, folded, starts, ends, _, _ = next(_hashed(pa.array([text], pa.large_string())))
+    return frozenset(_bytes(folded, starts, ends, at, width) for at in range(len(starts) - width + 1))
 
 
 def _inside(hashes: np.ndarray, among: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -104,17 +127,23 @@ def _prefixes(among: np.ndarray) -> np.ndarray:
 
 def search(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, its distinct shingles, those found in the row) of each contained item."""
+    bits = [_prefixes(p.sketch) for p in items.partitions]
+    every_bits = {w: _prefixes(x) for w, x in items.all_hashes.items()}
     for row, n, folded, starts, ends, hashes, first in _hashed(texts):
-        for width, sketch in items.sketch.items():
+        for width, every in items.all_hashes.items():
             at, found = W.shingle_hashes(hashes, first, width)
-            hit = _inside(found, sketch, _prefixes(sketch))
-            if not len(hit):
+            size, wanted = np.maximum(np.diff(first) - width + 1, 0), defaultdict(set)
+            for partition, own_bits in zip(items.partitions, bits, strict=True):
+                if partition.width != width or not (size >= partition.least).any():
+                    continue
+                hit = _inside(found, partition.sketch, own_bits)
+                owner = np.searchsorted(first, at[hit], "right") - 1
+                fits = size[owner] >= partition.least
+                for k, place in zip(owner[fits].tolist(), np.searchsorted(partition.sketch, found[hit[fits]]).tolist(), strict=True):
+                    wanted[k].update(partition.items[partition.first[place] : partition.first[place + 1]].tolist())
+            if not wanted:
                 continue
-            wanted = defaultdict(set)
-            for k, h in zip((np.searchsorted(first, at[hit], "right") - 1).tolist(), found[hit].tolist(), strict=True):
-                wanted[k].update(items.holders[width][h])
-            every = items.all_hashes[width]
-            near = _inside(found, every, _prefixes(every))
+            near = _inside(found, every, every_bits[width])
             owner = np.searchsorted(first, at[near], "right") - 1
             begin, end = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), "right")
             for k, candidates in wanted.items():
@@ -122,7 +151,7 @@ def search(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int]]
                 own = own[np.unique(found[own], return_index=True)[1]]
                 texts_found = {_bytes(folded, starts, ends, int(x), width) for x in at[own]}
                 for item in candidates:
-                    shingles = items.shingles[item]
+                    shingles = _strings(items.texts[item], width)
                     both = len(shingles & texts_found)
                     if both >= least_found(len(shingles)):
                         yield row + k, item, len(shingles), both

@@ -28,7 +28,7 @@ from fluxgrid.llm import neardup
 from fluxgrid.llm import words as W
 from fluxgrid.llm.xxh64 import xxh64
 from fluxgrid.operators.graph import connected_components
-from fluxgrid.session import cut
+from fluxgrid.session import cut, scratch
 
 BITS = 4
 WIDTH = 4
@@ -314,47 +314,53 @@ def links(prints: DataFrame) -> DataFrame:
     return edges.union(more.select("a", "b"))
 
 
-def _least_ids(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(print, component_id) of rows(doc_id, print): the smallest doc_id of each print's component; linked gives the edges of prints."""
-    groups = rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    groups = cut(groups)
-    labels = connected_components(linked(groups.select("print"))).withColumnRenamed("node", "print")
-    named = cut(groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
-    # Tables, as a join with an aggregation over the same exchange can't be split where a component has many fingerprints.
-    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return named.join(least, "component").select("print", "component_id")
-
-
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs(doc_id, text).
 
     fingerprint: 16 hexadecimal digits. component_id: the smallest doc_id that is reachable over links, its own
     included. A null text has no words, and texts without words have fingerprint 0, linked like any other. A row with
     a null doc_id gets the component of its fingerprint, which is null if no row of it has an id. Repeated rows come
-    out repeated. Rows of the same fingerprint are aggregated before anything is joined, so copies cost nothing more.
+    out repeated, columns of other names are left out, and an empty table gives no row. Rows of the same fingerprint are
+    aggregated before anything is joined, so copies cost nothing more.
     """
     rows = cut(with_fingerprints(docs))
-    by_print = _least_ids(rows, links)
+    groups = cut(rows.groupBy("print").agg(F.min("doc_id").alias("doc_id")))
+    labels = connected_components(links(groups.select("print"))).withColumnRenamed("node", "print")
+    named = cut(groups.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
+    # Tables, as a join with an aggregation over the same exchange can't be split where a component has many fingerprints.
+    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    by_print = named.join(least, "component").select("print", "component_id")
     return rows.join(by_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each component: that with its smallest doc_id. Of rows with the same id, one stays.
-
-    Components are of texts with a similarity of at least 0.8 (fluxgrid.llm.neardup), not of near fingerprints.
+    """The rows of docs(doc_id, text), one of each component: that with its smallest doc_id.
 
-    Where no row of a component has an id, all its rows with a null doc_id stay; they can't be told apart.
+    Components are of texts with a similarity of at least 0.8 (fluxgrid.llm.neardup), not of near fingerprints. Rows are
+    told apart as rows: others with the same doc_id but another text are judged by their text. Of several rows of a
+    component with its smallest id, that with the smallest hash of all its columns stays, and of equal rows one; a row
+    without an id stays only where no row of its component has one. A null text counts as empty, and an empty table
+    gives no row.
     """
-    rows = cut(neardup.prints(docs))
-    named = _least_ids(rows, lambda _: neardup.links(docs, rows))
-    found = rows.join(named, "print").select("doc_id", "component_id")
-    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    stays = cut(stays)
-    unnamed = docs.where("doc_id is null")
-    once = docs.join(stays.where("_n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    repeated = stays.where("_n > 1").select("doc_id")
-    if not repeated.isEmpty():
-        once = once.union(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return once.union(unnamed)
+    names = docs.columns
+    tag = "_tag_" + "_".join(names)  # no column of docs has a name that holds all names
+    tagged = docs.withColumn(tag, F.xxhash64(*(c for c in names if not docs.schema[c].dataType.simpleString().startswith(("map", "variant")))))
+    with scratch(docs.sparkSession) as write:
+        source = tagged.select("doc_id", "text", F.col(tag).alias("tag"))
+        rows = write(neardup.prints(source))
+        order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tag")
+        groups = write(rows.groupBy("print").agg(F.min(order).alias("first")))
+        labels = write(connected_components(neardup.links(source, rows, write))).withColumnRenamed("node", "print")
+        named = write(groups.join(labels, "print", "left").select(F.coalesce("component", "print").alias("component"), "first"))
+        first = named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.tag")
+        counted = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+        same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("tag") == F.col("own"))
+        stays = cut(counted.join(first.select(F.col("doc_id").alias("id"), F.col("tag").alias("own")), same).select("id", "own", "n"))
+    here = (docs["doc_id"].cast("bigint").eqNullSafe(F.col("id"))) & (F.col(tag) == F.col("own"))
+    once = tagged.join(stays.where("n = 1"), here, "left_semi").select(names)
+    repeated = stays.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.union(tagged.join(repeated, here, "left_semi").dropDuplicates(["doc_id", tag]).select(names))

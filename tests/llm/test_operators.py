@@ -358,7 +358,18 @@ def test_components(docs):
     kept = simhash.deduplicated(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and ids.count(5) == 1 and 3 not in ids and ids.count(2) == 1
-    assert simhash.components(docs.limit(0)).isEmpty()
+    assert simhash.components(docs.limit(0)).isEmpty() and simhash.deduplicated(docs.limit(0)).isEmpty()
+
+
+def test_deduplicated_tells_rows_apart(spark):
+    """Rows of one id and different texts are different rows; of equal rows one stays; rows without an id yield to those with one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, n int")
+    left = lambda rows: sorted(((r.doc_id, r.text[0], r.n) for r in simhash.deduplicated(table(rows)).collect()), key=str)
+    assert left([(1, a, 0), (1, b, 0), (7, c, 1), (7, c, 1), (7, c, 1), (None, c, 2), (None, "x y z", 3), (9, "X, y z", 4)]) == [(1, "a", 0), (1, "b", 0), (7, "c", 1), (9, "X", 4)]
+    assert left([(0, b, 0), (1, a, 0), (1, b, 0)]) == [(0, "b", 0), (1, "a", 0)]
+    two = left([(3, a, 1), (3, a + " more", 2), (4, a, 3), (None, b, 5), (None, b, 5)])
+    assert len(two) == 2 and two[0][0] == 3 and two[1] == (None, "b", 5)
 
 
 def test_chats(spark):
@@ -453,28 +464,41 @@ def test_query_equals_sql(spark, name):
 
 
 def test_pipeline_equals_brute_force(spark):
+    """The stages one after the other: documents by brute force, and what the last two make of their texts."""
     import corpus_pipeline as pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    kept = quality.kept(docs)
-    stays = {r.doc_id for r in kept.collect()}
-    assert not any(_counts(t)[5] for i, t in rows if i in stays)
-    prints = {i: _print(t) for i, t in rows if i in stays}
-    root = {i: i for i in prints}
-    for i in sorted(prints):
-        for j in prints:
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def rejected(t):  # the rules of RULES once more
+        n, chars, symbols, dup, repeat, failed = _counts(t)
+        lines = sum(bool(_words(x)) for x in t.split("\n"))
+        return failed or 100 * symbols > 30 * n or 100 * len(re.findall("[!?]", t)) > 60 * n or lines >= 8 and 100 * dup > 60 * lines or not 2 * n <= chars <= 20 * n
+
+    stays = {i for i, t in rows.items() if not rejected(t)}
+
+    def shingles(t):
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t)) or t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(rows[i]) for i in stays}, {i: i for i in stays}
+    for i in sorted(stays):
+        for j in sorted(stays):
+            if i < j and (sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])):
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if v == b else v for k, v in root.items()}
-    reps = set(root.values())
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))] for i in range(len(w) - 4)}
-    wanted = [shingles(t) for _, t in items]
-    text = dict(rows)
-    left = {i for i in reps if not any(len(w & shingles(text[i])) >= 0.8 * len(w) for w in wanted)}
-    out = pipeline.run(spark, DATA)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left and len(pipeline.STAGES) == 5
+    items = [x for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(x := shingles(r.text)) > 0]
+    left = {i for i in set(root.values()) if not any(len(x & sets[i]) >= 0.8 * len(x) for x in items)}
+    assert len(stays) > len(set(root.values())) > len(left) > 0
+    out = pipeline.run(spark, DATA).collect()
+    assert {r.doc_id for r in out} == left and len(pipeline.STAGES) == 5
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs.where(F.col("doc_id").isin(sorted(left)))).collect()}
+    assert any(clean[i] != rows[i] for i in left) and all(x not in clean[i] for i in left for s in pii.base_spans(rows[i]).values() for x in (rows[i][a:b] for a, b in s))
+    library, ids = Tokenizer.from_file(encoder.vocabulary_path()), collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == len(ids[r.doc_id]) and r.length <= 4096
+        ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert all(ids[i] == [*library.encode(clean[i], add_special_tokens=False).ids, 2] for i in left)
 
 
 def test_html_article_without_a_mark():
