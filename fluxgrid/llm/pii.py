@@ -178,8 +178,29 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["term", "hash"])
 
 
+#: Bits of a hash that tell whether it may be a term's, and how many of them name a slice.
+_BITS, _SLICE = 26, 10
+
+
+def _bitmap(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(slice, bits): which of its hashes' leading bits occur, of one slice."""
+    bits = np.zeros(1 << (_BITS - _SLICE), bool)
+    lead = table.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - _BITS)
+    bits[(lead & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return pa.table({"slice": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _leading(named: DataFrame) -> np.ndarray:
+    """For all values of a hash's _BITS leading bits, eight to a byte, whether a hash of named(hash) has them: 8 MB, however many there are."""
+    slices = named.select("hash", F.shiftrightunsigned("hash", 64 - _SLICE).alias("slice")).groupBy("slice").applyInArrow(_bitmap, "slice bigint, bits binary")
+    out = np.zeros((1 << _SLICE, 1 << (_BITS - _SLICE - 3)), np.uint8)
+    for row in slices.toArrow().to_pylist():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def _counted(wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(hash, n): in how many rows (text) words of wanted prefixes stand; a task gives a word once for every HELD words."""
+    """(hash, n): in how many rows (text) the words with wanted leading bits stand; a task gives a word once for every HELD words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, counts = wanted.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -192,7 +213,8 @@ def _counted(wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 folded = W.BY_SIGN[data]
                 starts, ends = W.spans(folded, offsets)
                 words = W.word_hashes(folded, starts, ends)
-                hit = bits[(words >> _PREFIX).astype(np.int64)]
+                lead = words >> np.uint64(64 - _BITS)
+                hit = bits[(lead >> np.uint64(3)).astype(np.int64)] >> (lead & np.uint64(7)).astype(np.uint8) & 1 == 1
                 own, place = np.unique(words[hit], return_inverse=True)
                 pairs = np.unique(np.searchsorted(offsets, starts[hit], "right") * max(1, len(own)) + place)
                 n = np.bincount(pairs % max(1, len(own)), minlength=len(own)) if len(own) else counts[:0]
@@ -206,22 +228,16 @@ def _counted(wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-_PREFIX = np.uint64(44)
-
-
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n_t): the number of distinct texts of docs that have each of terms(term).
 
-    Words are counted in the tasks by their hash and added up by a shuffle. Which of 2^20 prefixes the terms' hashes
-    have is known to all tasks, so that few other words are counted; nothing else comes to the driver, however many
-    terms there are.
+    Words are counted in the tasks by their hash and added up by a shuffle. A bitmap of the hashes' leading bits, made
+    in slices by tasks, keeps most other words out; it is as large for any number of terms, and nothing else comes to
+    the driver.
     """
-    spark = docs.sparkSession
     named = cut(terms.mapInArrow(_hashed, "term string, hash bigint"))
-    prefixes = named.select(F.shiftrightunsigned("hash", int(_PREFIX)).alias("p")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << 20, bool)
-    bits[prefixes.astype(np.int64)] = True
-    counted = _distinct_texts(docs).mapInArrow(_counted(spark.sparkContext.broadcast(bits)), "hash bigint, n bigint")
+    bits = docs.sparkSession.sparkContext.broadcast(_leading(named))
+    counted = _distinct_texts(docs).mapInArrow(_counted(bits), "hash bigint, n bigint")
     return counted.groupBy("hash").agg(F.sum("n").alias("n_t")).join(named, "hash").select("term", "n_t")
 
 
