@@ -44,6 +44,6 @@ def catalog(linked: DataFrame, field: DataFrame, terrain: DataFrame, window: int
     return joined.select(
         "event_id", "date_start", "date_end", "duration_days", "incept_lat", "incept_lon", "peak_E", "max_cells",
         F.when(heat >= ground, "heat-driven").otherwise("terrain-driven").alias("trigger"),
-        F.round(heat, 3).alias("heat_score"), F.round(ground, 3).alias("terrain_score"),
-        F.round(F.coalesce(ramp, F.lit(0.0)), 4).alias("precursor_ramp"),
+        F.bround(heat, 3).alias("heat_score"), F.bround(ground, 3).alias("terrain_score"),
+        F.bround(F.coalesce(ramp, F.lit(0.0)), 4).alias("precursor_ramp"),
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrid.functions.geo import haversine
+from fluxgrid.functions.geo import KM_PER_DEGREE_AT_LEAST, haversine
 from fluxgrid.operators.graph import connected_components, union_find
+from fluxgrid.operators.grid import ranked
+from fluxgrid.session import cut
 
 _LABELS = "t int, lat_i int, lon_i int, label long"
 
@@ -110,18 +112,23 @@ def blob_id(lat_i: str = "first_lat_i", lon_i: str = "first_lon_i") -> Column:
 
 
 def links(found: DataFrame, radius_km: float) -> DataFrame:
-    """(a, b, day_index, km): blobs of a day and blobs of the day before within the radius."""
+    """(a, b, day_index, km): blobs of a day and blobs of the day before within the radius.
+
+    Blobs of a day lie in bands of latitudes as wide as the radius; those of the day before go to their own band and
+    the two beside it, so that blobs far apart never meet.
+    """
     own = found.withColumn("blob", blob_id())
-    today = own.select("day_index", F.col("blob").alias("a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    before = own.select((F.col("day_index") + 1).alias("day_index"), F.col("blob").alias("b"), "lat", "lon")
+    band = F.floor((F.col("lat") + 90.0) / max(radius_km / KM_PER_DEGREE_AT_LEAST, 0.01)).cast("int")
+    today = own.select("day_index", band.alias("_band"), F.col("blob").alias("a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    before = own.select((F.col("day_index") + 1).alias("day_index"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"), F.col("blob").alias("b"), "lat", "lon")
     km = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    return today.join(before, "day_index").withColumn("km", km).where(F.col("km") <= radius_km).select("a", "b", "day_index", "km")
+    return today.join(before, ["day_index", "_band"]).withColumn("km", km).where(F.col("km") <= radius_km).select("a", "b", "day_index", "km")
 
 
 def linked(found: DataFrame, radius_km: float, in_one_task: int = 200_000) -> DataFrame:
     """The blobs with event_id: blobs that links connect make one event, numbered from 1 by their first blob."""
-    found = found.withColumn("blob", blob_id()).persist()
+    found = cut(found.withColumn("blob", blob_id()))
     own = connected_components(links(found, radius_km), in_one_task=in_one_task).withColumnRenamed("node", "blob")
     named = found.join(own, "blob", "left").withColumn("component", F.coalesce("component", "blob"))
-    number = named.select("component").distinct().withColumn("event_id", F.row_number().over(Window.orderBy("component")).cast("bigint"))
+    number = ranked(named.select("component").distinct(), "component", name="event_id")
     return named.join(number, "component").drop("component", "blob")

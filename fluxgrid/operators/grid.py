@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.functions.geo import wrapped
-from fluxgrid.session import small
+from fluxgrid.session import cut, small
 
 CELL = ("lat_i", "lon_i")
 # The statistics that a daily resample may ask for by name.
@@ -77,10 +77,13 @@ def regridded(field: DataFrame, source: tuple[Sequence[float], Sequence[float]],
     """(by, lat_i, lon_i, lat, lon, value): a field brought to other axes, linear along each axis.
 
     A target outside the source's hull, or with a missing corner, has no value. wrap: the longitudes close to a
-    circle, so that a target between the last and the first one has a value.
+    circle, so that a target between the last and the first one has a value. A field whose axes are the target's,
+    latitudes within half a step, comes back as it is, so that nothing is smoothed.
     """
     spark = field.sparkSession
     lats, lons = list(source[0]), list(source[1])
+    if same_axes(source, target):
+        return field.select(*by, "lat_i", "lon_i", "lat", "lon", value)
     values = field.select(*by, F.col("lat_i").alias("_lat_i"), F.col("lon_i").alias("_lon_i"), F.col(value).alias("_v"))
     if wrap:
         n = len(lons)
@@ -89,7 +92,7 @@ def regridded(field: DataFrame, source: tuple[Sequence[float], Sequence[float]],
         values = values.withColumn("_lon_i", F.explode(F.coalesce(again, F.array(F.col("_lon_i") + 1))))
     across = _weights(spark, lats, target[0], "lat").crossJoin(_weights(spark, lons, target[1], "lon"))
     groups = values.select(*by).distinct() if by else None
-    wanted = across if groups is None else groups.crossJoin(F.broadcast(across))
+    wanted = across if groups is None else groups.crossJoin(small(across))
     joined = wanted.join(values, [*by, "_lat_i", "_lon_i"], "left")
     product = F.col("_lat_w") * F.col("_lon_w") * F.col("_v")
     return joined.groupBy(*by, "lat_i", "lon_i", "lat", "lon").agg(
@@ -97,6 +100,53 @@ def regridded(field: DataFrame, source: tuple[Sequence[float], Sequence[float]],
     )
 
 
+def same_axes(source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]]) -> bool:
+    """Whether axes have the target's lengths, and its latitudes within half of its step."""
+    if any(len(a) != len(b) for a, b in zip(source, target, strict=True)):
+        return False
+    lats = list(target[0])
+    step = lats[1] - lats[0] if len(lats) > 1 else 1.0
+    return all(abs(a - b) <= step / 2 for a, b in zip(source[0], lats, strict=True))
+
+
+def at_level(df: DataFrame, level: int = 0, column: str = "level") -> DataFrame:
+    """One level of a table of several, by its place from the lowest value on, without the column; a table without levels stays as it is."""
+    if column not in df.columns:
+        return df
+    order = df.select(column).distinct().orderBy(column).offset(level).limit(1).withColumnRenamed(column, "_level")
+    return df.join(F.broadcast(order), F.col(column) == F.col("_level"), "left_semi").drop(column)
+
+
+def ranked(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
+    """df with the place of each row in an order of all rows, from 1 on, which no two rows may share.
+
+    Rows are dealt by ranges of the order and numbered within each; the numbers of the ranges before are then added, so
+    that no task holds more than one range.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_before") + own).cast("bigint")).drop("_range", "_before")
+
+
+#: Ranks of a block of running sums.
+BLOCK = 1 << 16
+
+
+def running(df: DataFrame, rank: str, *columns: str) -> DataFrame:
+    """df with each column as its sum over all rows up to its own rank, nulls as 0; blocks of ranks are added up first."""
+    blocked = df.withColumn("_block", F.floor(F.col(rank) / BLOCK))
+    filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
+    sums = blocked.groupBy("_block").agg(*(F.sum(x).alias(f"_{c}") for c, x in filled.items()))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = sums.select("_block", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    inside = Window.partitionBy("_block").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    own = {c: F.col(f"_{c}") + F.sum(x).over(inside) for c, x in filled.items()}
+    return blocked.join(F.broadcast(starts), "_block").withColumns(own).drop("_block", *(f"_{c}" for c in columns))
+
+
 def first_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key in an explicit order; nothing depends on how rows are dealt."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

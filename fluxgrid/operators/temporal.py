@@ -17,7 +17,8 @@ def climatology(cube: DataFrame, value: str = "value") -> DataFrame:
 def smoothed(clim: DataFrame, size: int) -> DataFrame:
     """A circular moving mean over the days of the year that are present, in their order; nulls are skipped.
 
-    An even size reaches one day further back than ahead.
+    A day on which a cell has no value of its own has the mean of those near it, or null if there are none. An even
+    size reaches one day further back than ahead.
     """
     if size <= 1:
         return clim
@@ -26,7 +27,8 @@ def smoothed(clim: DataFrame, size: int) -> DataFrame:
     places = places.withColumn("n", F.count("*").over(Window.partitionBy()))
     back, ahead = size // 2, size - size // 2 - 1
     copies = F.sequence(-F.ceil(F.lit(back) / F.col("n")).cast("int"), F.ceil(F.lit(max(ahead, 1)) / F.col("n")).cast("int"))
-    rows = clim.join(F.broadcast(places), "doy").withColumn("turn", F.explode(copies))
+    dense = clim.select(*CELL).distinct().crossJoin(F.broadcast(places)).join(clim.select("doy", *CELL, "clim"), ["doy", *CELL], "left")
+    rows = dense.withColumn("turn", F.explode(copies))
     rows = rows.withColumn("at", F.col("pos") + F.col("turn") * F.col("n")).where(F.col("at").between(-back, F.col("n") - 1 + ahead))
     near = Window.partitionBy(*CELL).orderBy("at").rangeBetween(-back, ahead)
     return rows.withColumn("clim", F.avg("clim").over(near)).where("turn = 0").select("doy", *CELL, "clim")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxgrid.config import Validation
 from fluxgrid.functions.geo import KM_PER_DEGREE_AT_LEAST, haversine
 from fluxgrid.functions.stats import binomial_tail, null_recall
+from fluxgrid.operators.grid import ranked, running
+from fluxgrid.session import cut
 
 
 def coverage(catalog: DataFrame, incidents: DataFrame, radius_km: float, lookback: float, lookahead: float) -> DataFrame:
@@ -108,16 +112,43 @@ def best(grid: DataFrame) -> DataFrame:
 
 def pr_curve(catalog: DataFrame, incidents: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rank, recall, precision) as events are added from the strongest on, at every hundredth of them and at the last."""
-    order = Window.orderBy(F.desc("peak_E"), "event_id")  # a row for each event of the catalog
-    ranked = catalog.select("event_id", F.row_number().over(order).alias("rank"))
-    reach = pairs.join(ranked, "event_id")
+    order = ranked(catalog.select("event_id", (-F.col("peak_E")).alias("_weakness")), "_weakness", "event_id").select("event_id", "rank")
+    places = cut(order)
+    reach = pairs.join(places, "event_id")
     caught = reach.groupBy("incident_id").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("_caught"))
     hit = reach.select("rank").distinct().withColumn("_hit", F.lit(1))
-    so_far = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    steps = running(places.join(caught, "rank", "left").join(hit, "rank", "left"), "rank", "_caught", "_hit")
     n = F.col("n_predicted")
-    steps = ranked.join(caught, "rank", "left").join(hit, "rank", "left").crossJoin(F.broadcast(totals(catalog, incidents)))
-    return steps.select(
-        "rank", n, F.col("n_incidents"), F.sum(F.coalesce("_caught", F.lit(0))).over(so_far).alias("_c"), F.sum(F.coalesce("_hit", F.lit(0))).over(so_far).alias("_h")
-    ).where((F.col("rank") % F.greatest(F.lit(1), F.floor(n / 100)) == 0) | (F.col("rank") == n)).select(
-        "rank", _share(F.col("_c"), F.col("n_incidents")).alias("recall"), (F.col("_h") / F.col("rank")).alias("precision")
+    told = steps.crossJoin(F.broadcast(totals(catalog, incidents)))
+    return told.where((F.col("rank") % F.greatest(F.lit(1), F.floor(n / 100)) == 0) | (F.col("rank") == n)).select(
+        "rank", _share(F.col("_caught"), F.col("n_incidents")).alias("recall"), (F.col("_hit") / F.col("rank")).alias("precision")
     )
+
+
+def in_period(incidents: DataFrame, start: str, end: str) -> DataFrame:
+    """The incidents that begin from start to end, both days included; those without a date are left out."""
+    return incidents.where(F.col("date_start").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def meets_targets(report: DataFrame, targets: Validation) -> DataFrame:
+    """A report with its p_value, and whether recall and precision are over their targets and the p-value under its own."""
+    over = lambda c, least: F.coalesce(F.col(c) > F.lit(least), F.lit(False))
+    return report.withColumns({
+        "recall_met": over("recall", targets.min_recall), "precision_met": over("precision", targets.min_precision),
+        "significant": F.coalesce(F.col("p_value") < F.lit(targets.max_pvalue), F.lit(False)),
+    })
+
+
+def predicted_and_actual(catalog: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(kind, lat, lon): what a map of both shows, predicted events by their first place and incidents by how well theirs is known."""
+    events = catalog.select(F.lit("predicted").alias("kind"), F.col("incept_lat").alias("lat"), F.col("incept_lon").alias("lon"))
+    return events.union(incidents.select(F.concat(F.lit("incident, "), "geo_precision"), "lat", "lon"))
+
+
+def experiment(catalogs: dict[str, DataFrame], incidents: DataFrame, radii: Sequence[float], lookbacks: Sequence[float], lookahead: float) -> DataFrame:
+    """The sweep of each recipe's catalog, with its name in recipe and the number of its events in n_predicted."""
+    parts = []
+    for name, catalog in catalogs.items():
+        size = catalog.agg(F.count("*").alias("n_predicted"))
+        parts.append(sweep(catalog, incidents, radii, lookbacks, lookahead).crossJoin(F.broadcast(size)).withColumn("recipe", F.lit(name)))
+    return reduce(DataFrame.union, parts)

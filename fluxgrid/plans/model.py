@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from fluxgrid.config import Breakdown, Charge, Clustering, Config, Domain, Permittivity
 from fluxgrid.operators import catalog, cluster, field, grid, spatial, temporal
+from fluxgrid.session import cut
 
 
 @dataclass
 class Model:
     """From a daily cube (day, t, cell, lat, lon, value) and terrain (cell, lat, lon, elevation, slope) to the catalog.
 
-    Nothing runs before a table is used, but for what links() counts.
+    Nothing runs before a table is used. The field and the events are then written once; what is read of them several
+    times isn't computed again.
     """
 
     cube: DataFrame
@@ -47,7 +49,8 @@ class Model:
 
     @cached_property
     def field(self) -> DataFrame:
-        return field.breakdown(self.gradient, self.ground)
+        """Written once to the shared folder: the threshold, the flags, the references and the catalog all read it."""
+        return cut(field.breakdown(self.gradient, self.ground))
 
     @cached_property
     def threshold(self) -> DataFrame:
@@ -69,12 +72,20 @@ class Model:
 
     @cached_property
     def events(self) -> DataFrame:
-        return cluster.linked(self.blobs, self.config.clustering.link_radius_km)
+        return cut(cluster.linked(self.blobs, self.config.clustering.link_radius_km))
 
     @cached_property
     def catalog(self) -> DataFrame:
         return catalog.catalog(self.events, self.field, self.ground, self.config.charge.window_days)
 
+    def by_permittivity(self, recipes: dict[str, Permittivity]) -> dict[str, Model]:
+        """A model for each recipe of permittivity; all share what comes before it, which is written once."""
+        shared, out = cut(self.gradient), {}
+        for name, recipe in recipes.items():
+            out[name] = Model(self.cube, self.terrain, replace(self.config, permittivity=recipe))
+            out[name].__dict__["gradient"] = shared  # where cached_property keeps it
+        return out
+
 
 #: The settings for the test tables, whose grid is coarse and whose days are few.
 CONFIG = Config(
@@ -97,7 +108,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, lat_i, lon_i, value): events as readings of a cell of 10 x 15, by user."""
     place = F.col("user_id") % 150
     return table(spark, sf_dir, "events").select(
-        "ts", (place % 10).cast("int").alias("lat_i"), F.floor(place / 10).cast("int").alias("lon_i"), (F.col("value") / 10).alias("value")
+        "ts", (place % 10).cast("int").alias("lat_i"), F.floor(place / 10).cast("int").alias("lon_i"), (F.col("value") / 9.7).alias("value")
     )
 
 
@@ -116,16 +127,16 @@ def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, lat, lon, elevation, slope): suppliers as heights; cells without one are at sea level."""
     place = F.col("s_suppkey") % 150
     heights = table(spark, sf_dir, "supplier").groupBy((place % 10).cast("int").alias("lat_i"), F.floor(place / 10).cast("int").alias("lon_i")).agg(
-        F.max(F.greatest("s_acctbal", F.lit(0.0)) / 2).alias("height")
+        F.max(F.greatest("s_acctbal", F.lit(0.0)) / 2.3).alias("height")
     )
     flat = cells(spark).join(heights, ["lat_i", "lon_i"], "left").select("lat_i", "lon_i", "lat", "lon", F.coalesce("height", F.lit(0.0)).alias("elevation"))
     return spatial.gradient(flat.withColumn("map", F.lit(0)), "elevation", ["map"], "slope", km=False).drop("map")
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(incident_id, date_start, lat, lon, geo_precision): each tenth order as an incident."""
+    """(incident_id, date_start, lat, lon, geo_precision): each order as an incident."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key % 10 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("incident_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.floor(key / 10) % 30).cast("int")).alias("date_start"),
         (-60.0 + F.col("o_custkey") * 37 % 121).alias("lat"), (-180.0 + key * 53 % 360).alias("lon"),
         F.when(key % 3 == 0, "estimated").otherwise("exact").alias("geo_precision"),

@@ -8,16 +8,21 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxgrid.config import Permittivity
 from fluxgrid.functions import geo, records
 from fluxgrid.functions.stats import quantile
 from fluxgrid.operators import catalog, cluster, field, grid, temporal, validate
 from fluxgrid.plans.model import CONFIG, LATS, LONS, LOOKAHEAD, LOOKBACK, RADIUS_KM, cube, incidents, long_cube, model, observations, table, terrain
+from fluxgrid.session import cut
+from fluxgrid.sources import incidents as places
 from fluxgrid.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RADII, LOOKBACKS = (500.0, 1000.0, 1500.0), (0, 2, 5)
 DBSCAN_EPS = 30.0
+PERIOD = ("2024-01-05", "2024-01-20")
+RECIPES = {"none": Permittivity("linear", 1.0, 1.0), "strong": Permittivity("linear", 0.2, 1.0), "weak": Permittivity("linear", 0.8, 1.0)}
 
 
 def query(f: Query) -> Query:
@@ -25,18 +30,10 @@ def query(f: Query) -> Query:
     return f
 
 
-#: Added before rounding where values with few decimals would lie exactly between two rounded ones.
-SHIFT = 1.234567e-8
-
-
 def r(name: str, digits: int, alias: str | None = None) -> Column:
     return F.round(name, digits).alias(alias or name)
 
 
-def off_ties(name: str, digits: int) -> Column:
-    return F.round(F.col(name) + SHIFT, digits).alias(name)
-
-
 def _at(*columns: str) -> list[str]:
     return ["t", "lat_i", "lon_i", *columns]
 
@@ -72,7 +69,7 @@ for _statistic in ("mean", "max", "min"):
 @query
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
     target = grid.centres(-90, 90, 10), grid.centres(-180, 180, 20)
-    return grid.regridded(terrain(spark, d), (LATS, LONS), target, "elevation").select("lat_i", "lon_i", "lat", "lon", off_ties("elevation", 5))
+    return grid.regridded(terrain(spark, d), (LATS, LONS), target, "elevation").select("lat_i", "lon_i", "lat", "lon", r("elevation", 5))
 
 
 @query
@@ -87,7 +84,8 @@ def gen_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gen_terrain(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.terrain(spark, grid.centres(-90, 90, 10), grid.centres(-180, 180, 10))
+    made = synthetic.terrain(spark, grid.centres(-90, 90, 10), grid.centres(-180, 180, 10), noise=0.0)
+    return made.select("lat_i", "lon_i", "lat", "lon", r("elevation", 6), r("slope", 6))
 
 
 @query
@@ -106,7 +104,7 @@ def elevation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def anomaly(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d).anomaly.select(_at(off_ties("anomaly", 5)))
+    return model(spark, d).anomaly.select(_at(r("anomaly", 5)))
 
 
 def _eps(method: str) -> Query:
@@ -134,7 +132,7 @@ def disno_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def concat_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", places.incident_id("l_orderkey", "l_linenumber").alias("id"))
 
 
 def _parts() -> tuple[Column, Column, Column]:
@@ -193,7 +191,7 @@ def domain_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def day_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d).charge.where(F.col("day") == F.lit("2024-01-15").cast("date")).select(_at(off_ties("charge", 5)))
+    return model(spark, d).charge.where(F.col("day") == F.lit("2024-01-15").cast("date")).select(_at(r("charge", 5)))
 
 
 # Joins
@@ -201,30 +199,29 @@ def day_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gdis_join(spark: SparkSession, d: str) -> DataFrame:
-    """Places with a record key, and the dates of the first record of each key."""
+    """Places with a record key, and the dates of the first record of each key; a third of the records has no year."""
     number = F.format_string("2010-%04d", F.col("o_custkey") % 10000)
-    places = table(spark, d, "orders").select("o_orderkey", records.record_key(number).alias("key"))
-    dated = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(
-        records.record_key(F.format_string("2010-%04d-AAA", F.col("c_custkey") % 10000)).alias("key"), "c_custkey",
-        records.assembled_date(F.lit("2010"), (F.col("c_custkey") % 14).cast("string"), (F.col("c_custkey") % 31).cast("string")).alias("date_start"),
+    own = table(spark, d, "orders").select("o_orderkey", records.record_key(number).alias("key"))
+    year = F.when(F.col("c_custkey") % 3 != 0, "2010")
+    dated = table(spark, d, "customer").select(
+        records.record_key(F.format_string("2010-%04d-AAA", F.col("c_custkey") % 10000)).alias("key"), F.col("c_custkey").alias("_row"),
+        records.assembled_date(year, (F.col("c_custkey") % 14).cast("string"), (F.col("c_custkey") % 31).cast("string")).alias("date_start"),
     )
-    dates = grid.first_by(dated.where("key is not null"), "key", ["c_custkey"]).select("key", "date_start")
-    return places.join(dates, "key", "left").dropna(subset=["date_start"]).select("o_orderkey", "key", "date_start")
+    return places.with_dates(own, places.first_dates(dated)).select("o_orderkey", "key", "date_start")
 
 
 @query
 def centroid_fallback(spark: SparkSession, d: str) -> DataFrame:
-    from fluxgrid.sources.incidents import with_centroids
-
     own = table(spark, d, "customer").select(
         "c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("iso"),
         F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 90).cast("double")).alias("lat"),
         F.when(F.col("c_custkey") % 4 != 0, (F.col("c_custkey") % 180).cast("double")).alias("lon"),
     )
-    centroids = table(spark, d, "nation").where("n_nationkey <> 7").select(
-        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso3"), (-48.0 + 4.0 * F.col("n_nationkey")).alias("lat"), (-150.0 + 12.0 * F.col("n_nationkey")).alias("lon")
+    centroids = table(spark, d, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso3"), F.when(F.col("n_nationkey") != 7, -48.0 + 4.0 * F.col("n_nationkey")).alias("lat"),
+        (-150.0 + 12.0 * F.col("n_nationkey")).alias("lon"), F.col("n_nationkey").alias("_row"),
     )
-    return with_centroids(own, centroids).select("c_custkey", "iso", "lat", "lon", "geo_precision")
+    return places.with_centroids(own, places.last_places(centroids)).select("c_custkey", "iso", "lat", "lon", "geo_precision")
 
 
 def _blob_key(prefix: str) -> Column:
@@ -244,7 +241,7 @@ def adjacency_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, incidents, pairs); scores need places and days of events, and their strength."""
-    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
+    events, found = cut(catalog.summaries(model(spark, d).events)), incidents(spark, d)
     return events, found, validate.coverage(events, found, RADIUS_KM, LOOKBACK, LOOKAHEAD)
 
 
@@ -372,12 +369,12 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def charge(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d).charge.select(_at(off_ties("charge", 5)))
+    return model(spark, d).charge.select(_at(r("charge", 5)))
 
 
 @query
 def charge_nodecay(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.charge(model(spark, d).anomaly, CONFIG.charge.window_days, 0.0).select(_at(off_ties("charge", 5)))
+    return temporal.charge(model(spark, d).anomaly, CONFIG.charge.window_days, 0.0).select(_at(r("charge", 5)))
 
 
 @query
@@ -414,7 +411,7 @@ def null_model(spark: SparkSession, d: str) -> DataFrame:
 @query
 def binom_pvalue(spark: SparkSession, d: str) -> DataFrame:
     report = validate.with_p_value(validate.scores(*_covered(spark, d), RADIUS_KM, LOOKBACK, LOOKAHEAD))
-    return report.select("incidents_hit", "n_incidents", "null_recall", "p_value", (F.col("p_value") < CONFIG.validation.max_pvalue).alias("significant"))
+    return report.select("incidents_hit", "n_incidents", r("null_recall", 9), r("p_value", 9), (F.col("p_value") < CONFIG.validation.max_pvalue).alias("significant"))
 
 
 @query
@@ -424,14 +421,14 @@ def pr_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def radius_lookback_grid(spark: SparkSession, d: str) -> DataFrame:
-    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
+    events, found = cut(catalog.summaries(model(spark, d).events)), incidents(spark, d)
     out = validate.sweep(events, found, RADII, LOOKBACKS, LOOKAHEAD)
     return out.select("radius_km", "lookback", "incidents_hit", "predictions_that_hit", r("recall", 7), F.round("precision", 7).alias("prec"))
 
 
 @query
 def best_sweep_cell(spark: SparkSession, d: str) -> DataFrame:
-    events, found = catalog.summaries(model(spark, d).events).persist(), incidents(spark, d)
+    events, found = cut(catalog.summaries(model(spark, d).events)), incidents(spark, d)
     return validate.best(validate.sweep(events, found, RADII, LOOKBACKS, LOOKAHEAD)).select("radius_km", "lookback", r("recall", 7))
 
 
@@ -443,3 +440,46 @@ def signal_ratio(spark: SparkSession, d: str) -> DataFrame:
     peak = own.agg(F.max(F.when(near, F.col("E"))).alias("peak")).crossJoin(quantile(own.select("E"), "E", 0.5, "median"))
     return peak.select(F.round(F.col("peak") / (F.col("median") + 1e-9), 5).alias("ratio"), (F.col("peak") / (F.col("median") + 1e-9) > 3).alias("ok"))
 
+
+
+# Further filters, sweeps and tables
+
+
+@query
+def level_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The lowest level of line items, with their numbers as levels."""
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("level"), "l_quantity")
+    return grid.at_level(own)
+
+
+@query
+def regrid_same(spark: SparkSession, d: str) -> DataFrame:
+    """Axes of the target's lengths, half a step off at most: nothing is interpolated."""
+    target = [x + 7.0 for x in LATS], LONS
+    return grid.regridded(terrain(spark, d), (LATS, LONS), target, "elevation").select("lat_i", "lon_i", "lat", "lon", r("elevation", 5))
+
+
+@query
+def incident_period(spark: SparkSession, d: str) -> DataFrame:
+    return validate.in_period(incidents(spark, d), *PERIOD)
+
+
+@query
+def target_comparison(spark: SparkSession, d: str) -> DataFrame:
+    report = validate.with_p_value(validate.scores(*_covered(spark, d), RADIUS_KM, LOOKBACK, LOOKAHEAD))
+    told = validate.meets_targets(report, CONFIG.validation)
+    return told.select(r("recall", 7), F.round("precision", 7).alias("prec"), r("p_value", 9), "recall_met", "precision_met", "significant")
+
+
+@query
+def predicted_actual(spark: SparkSession, d: str) -> DataFrame:
+    return validate.predicted_and_actual(catalog.summaries(model(spark, d).events), incidents(spark, d))
+
+
+@query
+def recipe_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep for several recipes of permittivity; the charge is computed once."""
+    own = model(spark, d).by_permittivity(RECIPES)
+    catalogs = {name: cut(catalog.summaries(m.events)) for name, m in own.items()}
+    out = validate.experiment(catalogs, incidents(spark, d), RADII, LOOKBACKS, LOOKAHEAD)
+    return out.select("recipe", "n_predicted", "radius_km", "lookback", "incidents_hit", "predictions_that_hit", r("recall", 7), F.round("precision", 7).alias("prec"))

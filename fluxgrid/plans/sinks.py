@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from fluxgrid.config import Validation
+
 
 def write_cube(cube: DataFrame, path: str) -> None:
     """A cube as Parquet by year and month, so that slices of time read their own files."""
@@ -24,6 +26,18 @@ def report_lines(report: DataFrame) -> list[str]:
     return [", ".join(f"{k} {v:.4g}" if isinstance(v, float) else f"{k} {v}" for k, v in row.asDict().items()) for row in report.collect()]
 
 
+def validation_lines(row: Row, targets: Validation) -> list[str]:
+    """A scored report, with meets_targets() columns, as lines to read."""
+    share = lambda x: "none" if x is None else f"{100 * x:.2f} %"
+    mark = lambda met: "met" if met else "not met"
+    return [
+        f"within {row.radius_km:.0f} km and {24 * row.window_days:.0f} h either way: {row.n_predicted} events, {row.n_incidents} incidents",
+        f"recall {share(row.recall)}, {row.incidents_hit} incidents; target {share(targets.min_recall)} {mark(row.recall_met)}",
+        f"precision {share(row.precision)}, {row.predictions_that_hit} events; target {share(targets.min_precision)} {mark(row.precision_met)}",
+        f"null recall {share(row.null_recall)}, p-value {'none' if row.p_value is None else f'{row.p_value:.2e}'}; target {targets.max_pvalue} {mark(row.significant)}",
+    ]
+
+
 def write_summary(report: DataFrame, path: str | Path) -> None:
     Path(path).write_text("\n".join(report_lines(report)) + "\n", encoding="utf-8")
 

@@ -17,11 +17,16 @@ CENTROIDS = StructType([StructField(c, t) for c, t in (("iso3", StringType()), (
 
 
 def centroids(spark: SparkSession, path: str) -> DataFrame:
-    """(iso3, lat, lon) of a CSV file; no rows if it isn't there. Rows with a gap are left out; of a repeated code the largest place stays."""
+    """(iso3, lat, lon) of a CSV file; no rows if it isn't there. Rows with a gap are left out; of a repeated code the file's last row counts."""
     if not exists(spark, path):
         return spark.createDataFrame([], CENTROIDS).select("iso3", "lat", "lon")
-    rows = spark.read.csv(path, header=True, schema=CENTROIDS).dropna(subset=["iso3", "lat", "lon"])
-    return rows.groupBy("iso3").agg(F.max(F.struct("lat", "lon")).alias("at")).select("iso3", "at.*")
+    return last_places(spark.read.csv(path, header=True, schema=CENTROIDS).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def last_places(rows: DataFrame) -> DataFrame:
+    """(iso3, lat, lon) of rows(iso3, lat, lon, _row) without a gap; of a repeated code the row with the largest _row."""
+    whole = rows.dropna(subset=["iso3", "lat", "lon"])
+    return whole.groupBy("iso3").agg(F.max_by(F.struct("lat", "lon"), "_row").alias("at")).select("iso3", "at.*")
 
 
 def with_centroids(incidents: DataFrame, places: DataFrame) -> DataFrame:
@@ -55,17 +60,31 @@ def dated_records(spark: SparkSession, path: str) -> DataFrame:
     rows = read_table(spark, path)
     number = _named(rows, "disno", "dis no", "event")
     start, end = _date(rows, "start"), _date(rows, "end")
-    keyed = rows.select(records.record_key(number).alias("key"), start.alias("date_start"), (start if end is None else end).alias("date_end"), "_row")
+    return first_dates(rows.select(records.record_key(number).alias("key"), start.alias("date_start"), (start if end is None else end).alias("date_end"), "_row"))
+
+
+def first_dates(keyed: DataFrame) -> DataFrame:
+    """keyed(key, ..., _row) with the first row of each key."""
     return first_by(keyed.where("key is not null"), "key", ["_row"]).drop("_row")
 
 
+def with_dates(places: DataFrame, dates: DataFrame) -> DataFrame:
+    """places(key, ...) with the dates of their records; those without a start are left out."""
+    return places.join(dates, "key", "left").dropna(subset=["date_start"])
+
+
+def incident_id(record: str, place: str) -> Column:
+    """What names a place of a record."""
+    return F.concat_ws("_", record, place)
+
+
 def located(spark: SparkSession, places: str, dates: str, domain: Domain = Domain()) -> DataFrame:
     """Incidents of a table of places (disastertype, disasterno, geo_id, country, latitude, longitude) with dates by record key."""
     rows = read_table(spark, places, encoding="ISO-8859-1")
     kind = F.trim("disastertype")
     own = rows.where(records.is_climate(kind)).withColumn("key", F.trim(F.col("disasterno").cast("string")))
-    joined = own.join(dated_records(spark, dates), "key", "left").select(
-        F.concat_ws("_", "disasterno", "geo_id").alias("incident_id"), kind.alias("type"), F.col("country").cast("string").alias("country"),
+    joined = with_dates(own, dated_records(spark, dates)).select(
+        incident_id("disasterno", "geo_id").alias("incident_id"), kind.alias("type"), F.col("country").cast("string").alias("country"),
         "date_start", "date_end", F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), F.lit("exact").alias("geo_precision"),
     )
     return in_domain(joined, domain)
@@ -86,3 +105,15 @@ def recorded(spark: SparkSession, path: str, places: DataFrame, domain: Domain =
         start.alias("date_start"), (start if end is None else end).alias("date_end"),
     )
     return in_domain(with_centroids(own, places), domain).where(records.is_climate(F.col("type")))
+
+
+def incidents(spark: SparkSession, source: str, dates: str, places: str | None = None, centres: str | None = None, domain: Domain = Domain()) -> DataFrame:
+    """Incidents by the kind of source: 'located', a table of places and one of dated records, or 'recorded', dated records with centroids."""
+    if source == "located":
+        if places is None:
+            raise ValueError("a located source needs its table of places")
+        return located(spark, places, dates, domain)
+    if source == "recorded":
+        known = centroids(spark, centres) if centres else spark.createDataFrame([], CENTROIDS).select("iso3", "lat", "lon")
+        return recorded(spark, dates, known, domain)
+    raise ValueError(f"no source of incidents is called {source!r}; 'located' or 'recorded'")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.operators.grid import grid
+from fluxgrid.config import Domain
+from fluxgrid.operators.grid import centres, grid
 from fluxgrid.operators.spatial import gradient
+from fluxgrid.session import small
 
 GRAVITY = 9.80665
 # Fixed values of the synthetic scene: mountains (lat, lon, height m, width deg), and the planted event.
@@ -49,4 +52,22 @@ def temperature(spark: SparkSession, lats: Sequence[float], lons: Sequence[float
     )
     if noise:
         value = value + noise * normal(F.col("t"), F.col("lat_i"), F.col("lon_i"), seed=seed)
-    return days.crossJoin(F.broadcast(grid(spark, lats, lons))).select("day", "t", "lat_i", "lon_i", "lat", "lon", value.alias("value"))
+    return days.crossJoin(small(grid(spark, lats, lons))).select("day", "t", "lat_i", "lon_i", "lat", "lon", value.alias("value"))
+
+
+@dataclass(frozen=True)
+class Scene:
+    """A synthetic cube, the terrain below it, and one row (lat, lon, width_deg, ramp_days, kelvin, peak_day) of the planted event."""
+
+    cube: DataFrame
+    terrain: DataFrame
+    event: DataFrame
+
+
+def scene(spark: SparkSession, domain: Domain, start: str, end: str, seed: int = 42, noise: bool = True) -> Scene:
+    """Temperature, terrain and planted event on the grid of a domain."""
+    lats, lons = centres(domain.lat_min, domain.lat_max, domain.resolution_deg), centres(domain.lon_min, domain.lon_max, domain.resolution_deg)
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    event = spark.range(1).select(*(F.lit(v).alias(k) for k, v in EVENT.items()), F.date_add(first, F.floor((F.datediff(last, first) + 1) / 3).cast("int")).alias("peak_day"))
+    own = {} if noise else {"noise": 0.0}
+    return Scene(temperature(spark, lats, lons, start, end, seed, **own), terrain(spark, lats, lons, seed, **own), event)

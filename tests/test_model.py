@@ -71,9 +71,9 @@ def test_even_smoothing_reaches_further_back(spark):
 
 
 def test_permittivity(spark):
-    assert {"linear", "log", "slope", "combined"} <= set(permittivity.available())
+    assert {"linear", "log", "slope", "combined"} <= set(permittivity.names())
     ground = spark.createDataFrame([(0, i, 100.0 * i, float(i)) for i in range(50)], "lat_i int, lon_i int, elevation double, slope double")
-    for method in permittivity.available():
+    for method in permittivity.names():
         eps = [r.eps for r in field.with_permittivity(ground, method, 0.2, 1.0, {"elevation_ref_m": 4000.0}).orderBy("lon_i").collect()]
         assert all(0.2 - 1e-9 <= x <= 1.0 for x in eps) and eps[0] > eps[-1]
     with pytest.raises(KeyError, match="linear"):
@@ -188,3 +188,48 @@ def test_planted_event_stands_out(spark):
     made = Model(cube, synthetic.terrain(spark, lats, lons), Config())
     own = made.field.where("day between '2015-08-20' and '2015-09-10'").agg(F.max("E")).first()[0]
     assert own / made.field.agg(F.percentile("E", 0.5)).first()[0] > 3
+
+
+def test_smoothing_fills_days_without_a_value(spark):
+    """A place and day without a value of its own has the mean of its neighbours in the circle of days that are present."""
+    rows = [(doy, 0, 0, float(doy)) for doy in (1, 2, 10)] + [(2, 0, 1, 5.0)]
+    found = {(r.doy, r.lon_i): r.clim for r in temporal.smoothed(spark.createDataFrame(rows, "doy int, lat_i int, lon_i int, clim double"), 3).collect()}
+    assert found == {(1, 0): 13 / 3, (2, 0): 13 / 3, (10, 0): 13 / 3, (1, 1): 5.0, (2, 1): 5.0, (10, 1): 5.0}
+    apart = [(k, 0, 0, 1.0) for k in range(1, 12)] + [(1, 0, 1, 2.0)]
+    found = {(r.doy, r.lon_i): r.clim for r in temporal.smoothed(spark.createDataFrame(apart, "doy int, lat_i int, lon_i int, clim double"), 3).collect()}
+    assert len(found) == 22 and found[11, 1] == found[2, 1] == 2.0 and found[6, 1] is None
+
+
+def test_ranks_and_running_sums_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 7)
+    rng = random.Random(4)
+    values = rng.sample(range(1000), 100)
+    rows = spark.createDataFrame([(v, v % 5 if v % 3 else None) for v in values], "v int, n int").repartition(6)
+    out = grid.running(grid.ranked(rows, F.desc("v")), "rank", "n").orderBy("rank").collect()
+    want, total = [], 0
+    for k, v in enumerate(sorted(values, reverse=True), 1):
+        total += v % 5 if v % 3 else 0
+        want.append((k, v, total))
+    assert [(r["rank"], r.v, r.n) for r in out] == want
+    assert grid.ranked(rows.limit(0), "v").isEmpty()
+
+
+def test_links_in_bands_lose_no_pair(spark):
+    rng = random.Random(9)
+    rows = [(t, dt.date(2020, 1, 1), rng.uniform(-90, 90), rng.uniform(-180, 180), 5, 1.0, k, 0) for t in range(3) for k in range(60)]
+    found = spark.createDataFrame(rows, "day_index int, day date, lat double, lon double, n_cells long, peak_E double, first_lat_i int, first_lon_i int")
+    for radius in (50.0, 700.0, 30000.0):
+        got = {(r.a, r.b) for r in cluster.links(found, radius).collect()}
+        key = lambda r: (r[0] << 40) + (r[6] << 20)
+        km = lambda a, b: 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2)))
+        assert got == {(key(a), key(b)) for a in rows for b in rows if a[0] == b[0] + 1 and km(a, b) <= radius}
+
+
+def test_scene_levels_and_targets(spark):
+    made = synthetic.scene(spark, Config().domain.__class__(resolution_deg=30.0), "2015-01-01", "2015-03-31", noise=False)
+    assert made.cube.count() == 90 * 6 * 12 and made.terrain.count() == 72 and str(made.event.first().peak_day) == "2015-01-31"
+    plain = spark.createDataFrame([(1, 10.0), (2, 20.0)], "level int, v double")
+    assert [r.v for r in grid.at_level(plain, 1).collect()] == [20.0] and grid.at_level(plain.drop("level")).count() == 2
+    report = spark.createDataFrame([(0.5, 0.05, 0.01), (None, None, None)], "recall double, precision double, p_value double")
+    told = [tuple(r)[3:] for r in validate.meets_targets(report, Config().validation).collect()]
+    assert told == [(True, False, True), (False, False, False)]

@@ -1,30 +1,31 @@
-"""Registered queries against their DuckDB SQL on the smallest tables."""
+"""All registered queries against their DuckDB SQL on the smallest tables."""
 
 import os
 
 import pytest
 
 import parity
+from fluxgrid.plans import queries
 from fluxgrid.plans.oracle import oracle_sql
 from fluxgrid.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: The dear ones, which stand on others in this list.
-SLOW = {"coverage_pairs", "disasters_hit", "disasters_missed", "predictions_hit", "recall_by_precision", "null_model", "best_sweep_cell", "trigger_scores", "trigger_label", "trigger_counts", "precursor_ramp", "binom_pvalue", "active_days", "top_events", "link_events", "link_pairs", "adjacency_pairs", "radius_lookback_grid", "pr_curve"}
-NAMES = sorted(n for n in QUERIES if os.environ.get("ALL_QUERIES") or n not in SLOW)
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(oracle_sql()) == {"gen_terrain", "binom_pvalue"}
+    assert set(QUERIES) == set(oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def one_model(spark):
+    """The queries of this module share one model, so that its field and events are computed once."""
+    make, shared = queries.model, queries.model(spark, DATA)
+    queries.model = lambda spark, d, *config: make(spark, d, *config) if config else shared
+    yield
+    queries.model = make
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, name):
-    found = QUERIES[name](spark, DATA)
-    sql = oracle_sql().get(name)
-    if sql:
-        assert parity.difference(found, parity.connection(DATA), sql) == ""
-    else:
-        assert found.count()
-    spark.catalog.clearCache()
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, one_model, name):
+    assert parity.difference(QUERIES[name](spark, DATA), parity.connection(DATA), oracle_sql()[name]) == ""
