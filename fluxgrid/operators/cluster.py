@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.functions.geo import KM_PER_DEGREE_AT_LEAST, haversine
-from fluxgrid.operators.graph import connected_components, union_find
+from fluxgrid.operators.graph import connected_components, smallest_linked
 from fluxgrid.operators.grid import ranked
 from fluxgrid.session import cut
 
@@ -36,28 +38,35 @@ def adjacency(cells: DataFrame, steps: int, by: str = "t") -> DataFrame:
     return a.join(b, [by, "_p", "_q"]).where(apart & order).select(by, "a_lat_i", "a_lon_i", "b_lat_i", "b_lon_i")
 
 
-def _near(i: np.ndarray, j: np.ndarray, reach: int) -> np.ndarray:
-    """Pairs of positions of cells at most reach apart on both axes."""
-    squares: dict[tuple[int, int], list[int]] = {}
-    for k, (p, q) in enumerate(zip((i // reach).tolist(), (j // reach).tolist(), strict=True)):
-        squares.setdefault((p, q), []).append(k)
-    pairs = []
-    for (p, q), own in squares.items():
-        for dp, dq in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-            other = np.array(squares.get((p + dp, q + dq), []), np.int64)
-            for k in own:
-                hit = other[(abs(i[other] - i[k]) <= reach) & (abs(j[other] - j[k]) <= reach)]
-                pairs += [(k, x) for x in hit.tolist() if x != k]
-    return np.array(pairs, np.int64).reshape(-1, 2)
+def _near(p: np.ndarray, q: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Pairs of positions, each once, whose squares (p, q) are the same or touch and for which near(positions, positions) holds."""
+    if not len(p):
+        return np.empty((0, 2), np.int64)
+    q = (q - q.min()).astype(np.int64)
+    width = int(q.max()) + 2
+    code = (p - p.min()).astype(np.int64) * width + q
+    order = np.argsort(code, kind="stable")
+    code, own, found = code[order], np.arange(len(code)), []
+    for step in (0, 1, width - 1, width, width + 1):  # half of a square's neighbours; the other half are those it is one of
+        begin = np.searchsorted(code, code + step) if step else own + 1
+        count = np.searchsorted(code, code + step, "right") - begin
+        a = np.repeat(own, count)
+        b = np.arange(len(a)) + np.repeat(begin - np.cumsum(count) + count, count)
+        a, b = order[a], order[b]
+        hit = near(a, b)
+        found.append(np.stack((a[hit], b[hit]), axis=1))
+    return np.concatenate(found)
 
 
 def components(cells: DataFrame, steps: int) -> DataFrame:
     """(t, lat_i, lon_i, label): flagged cells with their blob of the day; a label is the place of the blob's first cell."""
+    reach = 2 * steps + 1
 
     def label(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(["lat_i", "lon_i"], ignore_index=True)
         i, j = day["lat_i"].to_numpy(), day["lon_i"].to_numpy()
-        return day.assign(label=union_find(len(day), _near(i, j, 2 * steps + 1)))
+        pairs = _near(i // reach, j // reach, lambda a, b: (abs(i[a] - i[b]) <= reach) & (abs(j[a] - j[b]) <= reach))
+        return day.assign(label=smallest_linked(len(day), pairs))
 
     return cells.select("t", "lat_i", "lon_i").groupBy("t").applyInPandas(label, _LABELS)
 
@@ -69,22 +78,15 @@ def dbscan(cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
     def label(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(["lat_i", "lon_i"], ignore_index=True)
         lat, lon = day["lat"].to_numpy(), day["lon"].to_numpy()
-        squares: dict[tuple[int, int], list[int]] = {}
-        for k, key in enumerate(zip((lat // eps).tolist(), (lon // eps).tolist(), strict=True)):
-            squares.setdefault(key, []).append(k)
-        near = []
-        for k in range(len(day)):
-            p, q = lat[k] // eps, lon[k] // eps
-            other = np.array(sorted(x for dp in (-1, 0, 1) for dq in (-1, 0, 1) for x in squares.get((p + dp, q + dq), [])), np.int64)
-            near.append(other[np.hypot(lat[other] - lat[k], lon[other] - lon[k]) <= eps + 1e-9])
-        core = np.array([len(x) >= min_samples for x in near], bool)
-        pairs = [(k, x) for k in np.flatnonzero(core).tolist() for x in near[k][core[near[k]]].tolist() if x > k]
-        root = union_find(len(day), np.array(pairs, np.int64).reshape(-1, 2))
-        out = np.full(len(day), -1, np.int64)
-        for k in range(len(day)):
-            if (around := near[k][core[near[k]]]).size:
-                out[k] = root[k] if core[k] else root[around].min()
-        return day.assign(label=out)[out >= 0][["t", "lat_i", "lon_i", "label"]]
+        far = eps + 1e-9
+        pairs = _near(lat // far, lon // far, lambda a, b: np.hypot(lat[a] - lat[b], lon[a] - lon[b]) <= far)
+        core = 1 + np.bincount(pairs.ravel(), minlength=len(day)) >= min_samples
+        root = smallest_linked(len(day), pairs[core[pairs].all(axis=1)])
+        out = np.where(core, root, len(day))
+        for own, other in (pairs.T, pairs.T[::-1]):
+            edge = ~core[own] & core[other]
+            np.minimum.at(out, own[edge], root[other[edge]])
+        return day.assign(label=out)[out < len(day)][["t", "lat_i", "lon_i", "label"]]
 
     return cells.select("t", "lat_i", "lon_i", "lat", "lon").groupBy("t").applyInPandas(label, _LABELS)
 

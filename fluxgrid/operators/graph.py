@@ -14,27 +14,26 @@ from fluxgrid.session import cut
 _ROUNDS = 60
 
 
-def union_find(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The smallest index of each of n nodes' component; pairs is an (m, 2) array of linked indices."""
-    root = np.arange(n)
+def smallest_linked(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest index of each of n nodes' component; pairs is an (m, 2) array of linked indices.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(n)], dtype=np.int64) if n else root
+    In each round the components that a link joins to one with a smaller index go over to it, and links within one are left out.
+    """
+    root = np.arange(n, dtype=np.int64)
+    while len(pairs):
+        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+        apart = a != b
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+        pairs = pairs[apart]
+    return root
 
 
 def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     edges = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *batches])
     nodes, codes = np.unique(edges[["u", "v"]].to_numpy(dtype=np.int64), return_inverse=True)
-    labels = union_find(len(nodes), codes.reshape(-1, 2))
+    labels = smallest_linked(len(nodes), codes.reshape(-1, 2))
     yield pd.DataFrame({"node": nodes, "component": nodes[labels]}, dtype="int64")
 
 
@@ -49,7 +48,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_ta
     to the shared checkpoint folder. So are the minima, as a join with a table can be split where a node has many
     neighbours, and one with an aggregation over the same exchange can't.
 
-    in_one_task: up to so many distinct edges, a union-find in a single task replaces the rounds.
+    in_one_task: up to so many distinct edges, a single task replaces the rounds.
     """
     u, v = F.greatest(a, b).cast("bigint"), F.least(a, b).cast("bigint")
     own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(u.alias("u"), v.alias("v"))
