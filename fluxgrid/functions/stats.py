@@ -34,10 +34,11 @@ def quantile(df: DataFrame, value: str, p: float, name: str, narrow: bool | None
         return spark.createDataFrame([(None,)], f"`{name}` double")
     rank = (some.n - 1) * p
     lo, hi = some.b
-    inside = df.where((column >= lo) & (column <= hi)).select(column.alias("v"))
-    below = df.agg(F.count_if(column < lo)).first()[0]
+    bracket = (column >= lo) & (column <= hi)
+    inside = df.where(bracket).select(column.alias("v"))
+    below, within = df.agg(F.count_if(column < lo), F.count_if(bracket)).first()
     at = math.floor(rank) - below
-    if at < 0 or at + (rank > math.floor(rank)) >= inside.count():
+    if at < 0 or at + (rank > math.floor(rank)) >= within:
         return df.agg(F.percentile(value, p).alias(name))
     pair = [r.v for r in inside.orderBy("v").offset(at).limit(2).collect()]
     return spark.createDataFrame([(pair[0] + (pair[-1] - pair[0]) * (rank - math.floor(rank)),)], f"`{name}` double")

@@ -30,7 +30,7 @@ def smoothed(clim: DataFrame, size: int) -> DataFrame:
     dense = clim.select(*CELL).distinct().crossJoin(F.broadcast(places)).join(clim.select("doy", *CELL, "clim"), ["doy", *CELL], "left")
     rows = dense.withColumn("turn", F.explode(copies))
     rows = rows.withColumn("at", F.col("pos") + F.col("turn") * F.col("n")).where(F.col("at").between(-back, F.col("n") - 1 + ahead))
-    near = Window.partitionBy(*CELL).orderBy("at").rangeBetween(-back, ahead)
+    near = Window.partitionBy(*CELL).orderBy("at").rowsBetween(-back, ahead)  # each cell has all places
     return rows.withColumn("clim", F.avg("clim").over(near)).where("turn = 0").select("doy", *CELL, "clim")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,12 @@ def terrain(spark: SparkSession, lats: Sequence[float], lons: Sequence[float], s
 
 def temperature(spark: SparkSession, lats: Sequence[float], lons: Sequence[float], start: str, end: str, seed: int = 42, noise: float = 1.2) -> DataFrame:
     """A cube of temperatures: warm at the equator, seasons by hemisphere, and a heat wave that grows and fades."""
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
-    days = days.select("day", F.datediff("day", first).alias("t"), (F.datediff(last, first) + 1).alias("n"))
+    n, t = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1, F.col("id").cast("int")
+    days = spark.range(max(n, 0)).select(F.date_add(F.lit(start).cast("date"), t).alias("day"), t.alias("t"))  # dealt to all tasks
     lat, lon = F.col("lat"), F.col("lon")
     season = F.sin(2 * math.pi * (F.dayofyear("day") - 80) / 365.25)
     away = F.pow(lat - EVENT["lat"], F.lit(2.0)) + F.pow(lon - EVENT["lon"], F.lit(2.0))
-    ramp = F.greatest(F.lit(0.0), 1 - F.abs(F.col("t") - F.floor(F.col("n") / 3)) / EVENT["ramp_days"])
+    ramp = F.greatest(F.lit(0.0), 1 - F.abs(F.col("t") - n // 3) / EVENT["ramp_days"])
     value = (
         288.0 - 0.45 * F.abs(lat) + (2.0 + 0.25 * F.abs(lat)) * season * F.signum(lat)
         + EVENT["kelvin"] * ramp * F.exp(-away / (2 * EVENT["width_deg"] ** 2))
