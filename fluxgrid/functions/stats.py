@@ -11,7 +11,7 @@ from fluxgrid.functions.geo import EARTH_AREA_KM2
 from fluxgrid.session import input_bytes
 
 #: Above this size of its inputs a quantile is narrowed down before it is taken exactly.
-NARROW_BYTES = 1 << 30
+NARROW_BYTES = 16 << 20
 
 
 def quantile(df: DataFrame, value: str, p: float, name: str, narrow: bool | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.operators.grid import CELL
-from fluxgrid.session import small
+from fluxgrid.session import BROADCAST_BYTES, estimated_bytes, written
 
 
 def climatology(cube: DataFrame, value: str = "value") -> DataFrame:
@@ -22,12 +22,16 @@ def smoothed(clim: DataFrame, size: int) -> DataFrame:
     """
     if size <= 1:
         return clim
+    clim = written(clim.select("doy", *CELL, "clim"))  # read three times; it has no more rows than a year of the cube
     order = Window.orderBy("doy")  # of 366 rows at most
     places = clim.select("doy").distinct().withColumn("pos", F.row_number().over(order) - 1)
     places = places.withColumn("n", F.count("*").over(Window.partitionBy()))
     back, ahead = size // 2, size - size // 2 - 1
     copies = F.sequence(-F.ceil(F.lit(back) / F.col("n")).cast("int"), F.ceil(F.lit(max(ahead, 1)) / F.col("n")).cast("int"))
-    dense = clim.select(*CELL).distinct().crossJoin(F.broadcast(places)).join(clim.select("doy", *CELL, "clim"), ["doy", *CELL], "left")
+    own = clim.join(F.broadcast(places), "doy")
+    every = clim.select(*CELL).distinct().crossJoin(F.broadcast(places)).withColumn("clim", F.lit(None).cast("double"))
+    dealt = own.unionByName(every).repartition(*CELL)  # the only shuffle: the aggregation and the window use it
+    dense = dealt.groupBy(*CELL, "doy", "pos", "n").agg(F.max("clim").alias("clim"))
     rows = dense.withColumn("turn", F.explode(copies))
     rows = rows.withColumn("at", F.col("pos") + F.col("turn") * F.col("n")).where(F.col("at").between(-back, F.col("n") - 1 + ahead))
     near = Window.partitionBy(*CELL).orderBy("at").rowsBetween(-back, ahead)  # each cell has all places
@@ -35,9 +39,19 @@ def smoothed(clim: DataFrame, size: int) -> DataFrame:
 
 
 def anomaly(cube: DataFrame, clim: DataFrame, value: str = "value") -> DataFrame:
-    """The cube with anomaly, the value less the climatology of its day of the year."""
-    doy = cube.withColumn("doy", F.dayofyear("day"))
-    return doy.join(small(clim), ["doy", *CELL]).withColumn("anomaly", F.col(value) - F.col("clim")).drop("doy", "clim")
+    """The cube with anomaly, the value less the climatology of its day of the year; what that lacks is left out.
+
+    A climatology that is too large to broadcast is dealt by cell together with the cube, in the one shuffle that
+    windows over a cell's days use too.
+    """
+    doy, clim = cube.withColumn("doy", F.dayofyear("day")), clim.select("doy", *CELL, "clim")
+    columns = [*cube.columns, (F.col(value) - F.col("clim")).alias("anomaly")]
+    if estimated_bytes(clim) <= BROADCAST_BYTES:
+        return doy.join(F.broadcast(clim), ["doy", *CELL]).select(columns)
+    same = Window.partitionBy(*CELL, "doy")
+    both = doy.withColumn("_own", F.lit(True)).unionByName(clim.withColumn("_own", F.lit(False)), allowMissingColumns=True).repartition(*CELL)
+    known = both.withColumn("_known", F.count_if(~F.col("_own")).over(same)).withColumn("clim", F.max("clim").over(same))
+    return known.where(F.col("_own") & (F.col("_known") > 0)).select(columns)
 
 
 def charge(cube: DataFrame, window: int, decay: float, value: str = "anomaly") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxgrid.config import Breakdown, Charge, Clustering, Config, Domain, Permittivity
 from fluxgrid.operators import catalog, cluster, field, grid, spatial, temporal
-from fluxgrid.session import cut
+from fluxgrid.session import cut, written
 
 
 @dataclass
@@ -50,7 +50,7 @@ class Model:
     @cached_property
     def field(self) -> DataFrame:
         """Written once to the shared folder: the threshold, the flags, the references and the catalog all read it."""
-        return cut(field.breakdown(self.gradient, self.ground))
+        return written(field.breakdown(self.gradient, self.ground))
 
     @cached_property
     def threshold(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Model:
 
     def by_permittivity(self, recipes: dict[str, Permittivity]) -> dict[str, Model]:
         """A model for each recipe of permittivity; all share what comes before it, which is written once."""
-        shared, out = cut(self.gradient), {}
+        shared, out = written(self.gradient), {}
         for name, recipe in recipes.items():
             out[name] = Model(self.cube, self.terrain, replace(self.config, permittivity=recipe))
             out[name].__dict__["gradient"] = shared  # where cached_property keeps it

@@ -63,6 +63,21 @@ def test_toy_chain_equals_numpy(toy):
     assert math.isclose(quantile(stress, "E", 0.975, "x", narrow=True).first()[0], thr.first()[0], rel_tol=1e-12)
 
 
+def test_anomaly_is_the_same_by_broadcast_and_dealt_by_cell(toy, spark, monkeypatch):
+    cube = toy[0].withColumn("value", F.when(F.col("t") % 7 > 0, F.col("value"))).withColumn("more", F.col("t") * 2)
+    clim = temporal.climatology(cube).where("doy <> 5 and lat_i <> 2").withColumn("clim", F.when(F.col("doy") != 9, F.col("clim")))
+    want = temporal.anomaly(cube, clim)
+    rows = sorted(map(tuple, want.drop("anomaly").collect()), key=str)
+    values = _array(want, "anomaly", toy[1].shape)
+    monkeypatch.setattr(temporal, "BROADCAST_BYTES", -1)
+    got = temporal.anomaly(cube, clim)
+    assert got.columns == want.columns and sorted(map(tuple, got.drop("anomaly").collect()), key=str) == rows
+    np.testing.assert_allclose(_array(got, "anomaly", toy[1].shape), values, atol=1e-12)
+    assert len(rows) == 119 * 5 * 8 and np.isnan(values[8]).all()
+    plan = temporal.charge(got, 30, 0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lat_i" in plan and plan.count("REPARTITION_BY_COL") == 1 and "Join" not in plan
+
+
 def test_even_smoothing_reaches_further_back(spark):
     clim = spark.createDataFrame([(d, 0, 0, float(d * d)) for d in range(1, 6)], "doy int, lat_i int, lon_i int, clim double")
     got = {r.doy: r.clim for r in temporal.smoothed(clim, 4).collect()}
