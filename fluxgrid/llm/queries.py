@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxgrid.llm import chats, decontaminate, html, licenses, packing, pii, quality, simhash, tokens, warc
+from fluxgrid.llm import chats, decontaminate, html, interactions, licenses, packing, pii, quality, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters removes, by source."""
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_licenses, op3_pii, op4_packing, op5_warc_fixity, op6_chats, op7_quality_rules, op8_simhash,
-        op9_token_counts, op10_html,
+        op9_token_counts, op10_html, op11_filter_interactions,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_chats": chats.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_chats": chats.ORACLE, "op11_filter_interactions": interactions.ORACLE}
