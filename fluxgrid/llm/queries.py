@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxgrid.llm import chats, decontaminate, html, interactions, licenses, packing, pii, quality, ranking, simhash, tokens, warc
+from fluxgrid.llm import chats, decontaminate, html, interactions, licenses, packing, pii, quality, ranking, simhash, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,15 +75,21 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL, by rule or by template."""
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_licenses, op3_pii, op4_packing, op5_warc_fixity, op6_chats, op7_quality_rules, op8_simhash,
         op9_token_counts, op10_html, op11_filter_interactions, op12_ranked_search,
+        op13_url_filters,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_fixity": warc.ORACLE, "op6_chats": chats.ORACLE, "op11_filter_interactions": interactions.ORACLE,
-    "op12_ranked_search": ranking.ORACLE,
+    "op12_ranked_search": ranking.ORACLE, "op13_url_filters": urls.ORACLE,
 }
