@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from fluxgrid.session import cut, remove, shared_folder
 
 #: Most documents of a shard, documents and bytes of a block that is reordered at once, and rounds of moves for each cut.
-SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES, ROUNDS = 64, 4096, 16 << 20, 8
+SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES, ROUNDS = 64, 2048, 8 << 20, 8
 #: Tasks of the scan whose shards make a chunk; the seeds' reading is pruned to the chunks that hold any.
 CHUNK_TASKS = 8
 #: Characters of items, about, that are looked up at once.
@@ -111,13 +112,28 @@ def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
 
 
-def _shards(ids: list[int], texts: list[Counter], first: int, chunk: int, most: int = SHARD_DOCS) -> pa.RecordBatch:
-    """The shards, of at most so many documents, of a block of documents, each with a term at least; numbered from first on."""
-    n, vocabulary = len(ids), {}
-    size = np.array([len(x) for x in texts])
-    term = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for x in texts for t in x), np.int64, int(size.sum()))
-    tf = np.fromiter((c for x in texts for c in x.values()), np.int64, len(term))
-    doc = np.repeat(np.arange(n), size)
+class _Block:
+    """Documents that are reordered together, each with a term at least, as numbers of terms and frequencies."""
+
+    def __init__(self) -> None:
+        self.ids, self.sizes, self.vocabulary = array("q"), array("q"), {}
+        self.terms, self.tfs = array("i"), array("i")
+        self.bytes = 0
+
+    def add(self, i: int, text: Counter, size: int) -> None:
+        number = self.vocabulary.setdefault
+        self.ids.append(i)
+        self.sizes.append(len(text))
+        self.terms.extend(number(t, len(self.vocabulary)) for t in text)
+        self.tfs.extend(text.values())
+        self.bytes += size
+
+
+def _shards(block: _Block, first: int, chunk: int, most: int = SHARD_DOCS) -> pa.RecordBatch:
+    """The shards, of at most so many documents, of a block; numbered from first on."""
+    n, ids = len(block.ids), block.ids
+    term, tf = (np.frombuffer(x, np.int32).astype(np.int64) for x in (block.terms, block.tfs))
+    doc = np.repeat(np.arange(n), block.sizes)
     order, starts = bisected(doc, term, n, most)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -133,7 +149,7 @@ def _shards(ids: list[int], texts: list[Counter], first: int, chunk: int, most:
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(len(sums), chunk), pa.int32()), pa.array(first + np.arange(len(sums))), pa.array(sums), pa.array(np.minimum.reduceat(ids, starts[:-1])),
         _lists(starts[1:], pa.array(ids)), _lists(starts[1:], pa.array(lengths, pa.int32())),
-        _lists(per_shard, pa.array(list(vocabulary), pa.binary()).cast(pa.string()).take(pa.array(term[rows]))),
+        _lists(per_shard, pa.array(list(block.vocabulary), pa.binary()).cast(pa.string()).take(pa.array(term[rows]))),
         _lists(per_shard, pa.array(np.maximum.reduceat(tf, rows), pa.int32())), _lists(per_shard, pa.array(np.minimum.reduceat(lengths[at] / tf, rows))),
         _lists(per_shard, pa.array(ends, pa.int32())), _lists(postings, pa.array(at - starts[own], pa.int32())), _lists(postings, pa.array(tf, pa.int32())),
     ], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -144,20 +160,18 @@ def _built(shard_docs: int, block_docs: int) -> Callable[[Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        ids, texts, size, first = [], [], 0, task << 32
+        block, first = _Block(), task << 32
         for batch in batches:
             for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 data = text.as_py() or b""
                 if not (own := terms_of(data)):
                     continue
-                if ids and (len(ids) == block_docs or size + len(data) > BLOCK_BYTES):
-                    yield (out := _shards(ids, texts, first, task // CHUNK_TASKS, shard_docs))
-                    ids, texts, size, first = [], [], 0, first + out.num_rows
-                ids.append(NO_ID if i.as_py() is None else i.as_py())
-                texts.append(own)
-                size += len(data)
-        if ids:
-            yield _shards(ids, texts, first, task // CHUNK_TASKS, shard_docs)
+                if block.ids and (len(block.ids) == block_docs or block.bytes + len(data) > BLOCK_BYTES):
+                    yield (out := _shards(block, first, task // CHUNK_TASKS, shard_docs))
+                    block, first = _Block(), first + out.num_rows
+                block.add(NO_ID if i.as_py() is None else i.as_py(), own, len(data))
+        if block.ids:
+            yield _shards(block, first, task // CHUNK_TASKS, shard_docs)
 
     return run
 

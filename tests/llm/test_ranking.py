@@ -40,6 +40,13 @@ def brute_force(docs, items, k=50):
     return Counter(out)
 
 
+def blocked(texts):
+    block = ranking._Block()
+    for i, text in texts:
+        block.add(i, text, 1)
+    return block
+
+
 def found(df):
     return Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect())
 
@@ -82,7 +89,7 @@ def test_shards_out_of_reach_are_not_scored(monkeypatch):
     """Items of one topic enter the shards of that topic alone, once good documents are known."""
     rng = np.random.default_rng(1)
     texts = [Counter(f"t{d % 16}x{w}".encode() for w in rng.integers(0, 60, 50)) for d in range(1024)]
-    batch = ranking._shards(list(range(1024)), texts, 0, 0)
+    batch = ranking._shards(blocked(enumerate(texts)), 0, 0)
     items = ranking.items_of([1], [" ".join(f"t3x{w}" for w in range(60))])
     items.n, items.total = 1024, 1024 * 50
     items.weights = np.full(len(items.terms), 3000)
@@ -114,7 +121,7 @@ def test_bisection_brings_topics_together():
 def test_pieces_make_no_difference(tables, monkeypatch):
     docs, items, _, _ = tables
     own = [(i, Counter(t.encode() for t in terms(t))) for i, t in docs[:200] if terms(t)]
-    batch = ranking._shards([i for i, _ in own], [c for _, c in own], 0, 0)
+    batch = ranking._shards(blocked(own), 0, 0)
     asked = ranking.items_of([i for i, _ in items], [t for _, t in items])
     asked.n, asked.total = len(own), sum(sum(c.values()) for _, c in own)
     asked.weights = np.arange(len(asked.terms))
