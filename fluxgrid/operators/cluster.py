@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxgrid.functions import sphere
 from fluxgrid.functions.geo import KM_PER_DEGREE_AT_LEAST, haversine
 from fluxgrid.operators.graph import connected_components, smallest_linked
 from fluxgrid.operators.grid import ranked
+from fluxgrid.operators.spatial import TILE, tiled
 from fluxgrid.session import cut
 
 _LABELS = "t int, lat_i int, lon_i int, label long"
@@ -58,37 +60,95 @@ def _near(p: np.ndarray, q: np.ndarray, near: Callable[[np.ndarray, np.ndarray],
     return np.concatenate(found)
 
 
-def components(cells: DataFrame, steps: int) -> DataFrame:
-    """(t, lat_i, lon_i, label): flagged cells with their blob of the day; a label is the place of the blob's first cell."""
+def _node(lat_i: np.ndarray, lon_i: np.ndarray) -> np.ndarray:
+    """Numbers of a day's cells, in row-major order."""
+    return (lat_i.astype(np.int64) << 20) | lon_i.astype(np.int64)
+
+
+def _day_node(label: str) -> Column:
+    """A number of a day's cell among all days."""
+    return F.col("t").cast("bigint") * F.lit(1 << 40) + F.col(label)
+
+
+def _merged(rows: DataFrame, edges: DataFrame, label: str = "label") -> DataFrame:
+    """rows(t, label, ..) with the labels that edges(a, b), of day nodes, connect brought down to the smallest of them."""
+    edges = cut(edges.distinct())
+    if edges.isEmpty():
+        return rows
+    joined = connected_components(edges, in_one_task=200_000)
+    to = joined.where("node != component").select(F.col("node").alias("_node"), (F.col("component") % F.lit(1 << 40)).alias("_to"))
+    return rows.withColumn("_node", _day_node(label)).join(to, "_node", "left").withColumn(label, F.coalesce("_to", label)).drop("_node", "_to")
+
+
+def components(cells: DataFrame, steps: int, tile: int = TILE) -> DataFrame:
+    """(t, lat_i, lon_i, label): flagged cells with their blob of the day; a label is the number of the blob's first cell.
+
+    Cells are labelled within tiles of a day. Those next to a tile's edge are then paired with the cells within reach
+    beyond it, and what such pairs connect becomes one, as components of an edge table. No task holds more than a tile.
+    """
     reach = 2 * steps + 1
+    tile = max(tile, reach)
 
-    def label(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["lat_i", "lon_i"], ignore_index=True)
-        i, j = day["lat_i"].to_numpy(), day["lon_i"].to_numpy()
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lat_i", "lon_i"], ignore_index=True)
+        i, j = part["lat_i"].to_numpy(), part["lon_i"].to_numpy()
         pairs = _near(i // reach, j // reach, lambda a, b: (abs(i[a] - i[b]) <= reach) & (abs(j[a] - j[b]) <= reach))
-        return day.assign(label=smallest_linked(len(day), pairs))
+        return part.assign(label=_node(i, j)[smallest_linked(len(part), pairs)])[["t", "lat_i", "lon_i", "label"]]
 
-    return cells.select("t", "lat_i", "lon_i").groupBy("t").applyInPandas(label, _LABELS)
+    own = cells.select("t", "lat_i", "lon_i", *(F.floor(F.col(c) / tile).cast("int").alias(n) for c, n in (("lat_i", "_p"), ("lon_i", "_q"))))
+    local = cut(own.groupBy("t", "_p", "_q").applyInPandas(label, _LABELS))
+    every = tiled(local, tile, reach, corners=True)
+    at = [F.pmod(F.col(c), F.lit(tile)) for c in ("lat_i", "lon_i")]
+    square = lambda c: F.floor(F.col(c) / reach).cast("int")
+    edge = every.where(F.col("_own") & ((F.least(*at) < reach) | (F.greatest(*at) >= tile - reach))).withColumn("_a", square("lat_i")).withColumn("_b", square("lon_i"))
+    near = every.where(~F.col("_own")).select("t", "_p", "_q", F.col("lat_i").alias("_i"), F.col("lon_i").alias("_j"), F.col("label").alias("_label"))
+    around = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
+    near = near.withColumn("_a", around("_i")).withColumn("_b", around("_j"))
+    apart = (F.abs(F.col("lat_i") - F.col("_i")) <= reach) & (F.abs(F.col("lon_i") - F.col("_j")) <= reach)
+    meet = edge.join(near, ["t", "_p", "_q", "_a", "_b"]).where(apart)
+    return _merged(local, meet.select(_day_node("label").alias("a"), _day_node("_label").alias("b")))
 
 
-def dbscan(cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def dbscan(cells: DataFrame, eps: float, min_samples: int, tile: int = TILE) -> DataFrame:
     """(t, lat_i, lon_i, label) by density, without noise: core cells within eps degrees are joined, and any other cell
-    near a core one belongs to the cluster with the smallest first core cell. A cell counts among its own neighbours."""
+    near a core one belongs to the cluster with the smallest first core cell. A cell counts among its own neighbours.
 
-    def label(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["lat_i", "lon_i"], ignore_index=True)
-        lat, lon = day["lat"].to_numpy(), day["lon"].to_numpy()
-        far = eps + 1e-9
-        pairs = _near(lat // far, lon // far, lambda a, b: np.hypot(lat[a] - lat[b], lon[a] - lon[b]) <= far)
-        core = 1 + np.bincount(pairs.ravel(), minlength=len(day)) >= min_samples
-        root = smallest_linked(len(day), pairs[core[pairs].all(axis=1)])
-        out = np.where(core, root, len(day))
-        for own, other in (pairs.T, pairs.T[::-1]):
-            edge = ~core[own] & core[other]
-            np.minimum.at(out, own[edge], root[other[edge]])
-        return day.assign(label=out)[out < len(day)][["t", "lat_i", "lon_i", "label"]]
+    A tile, some degrees wide, gets copies of the cells within two eps of it: whatever is within one eps of its own cells
+    then has all of its neighbours there, so that core cells are told exactly. Core cells that two tiles hold tie their
+    clusters together, as components of an edge table; a cell at several clusters' borders waits for that.
+    """
+    far = eps + 1e-9
+    width = max(2, tile) * far
 
-    return cells.select("t", "lat_i", "lon_i", "lat", "lon").groupBy("t").applyInPandas(label, _LABELS)
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lat_i", "lon_i"], ignore_index=True)
+        lat, lon, own = part["lat"].to_numpy(), part["lon"].to_numpy(), part["own"].to_numpy()
+        pairs = _near(lat // far, lon // far, lambda a, b: np.hypot(lat[a] - lat[b], lon[a] - lon[b]) <= far)
+        south, west = part["_p"].iloc[0] * width, part["_q"].iloc[0] * width
+        sure = (lat >= south - far) & (lat < south + width + far) & (lon >= west - far) & (lon < west + width + far)
+        core = sure & (1 + np.bincount(pairs.ravel(), minlength=len(part)) >= min_samples)
+        node = _node(part["lat_i"].to_numpy(), part["lon_i"].to_numpy())
+        root = node[smallest_linked(len(part), pairs[core[pairs].all(axis=1)])]
+        at, to = [np.flatnonzero(core)], [root[core]]
+        for a, b in (pairs.T, pairs.T[::-1]):
+            edge = own[a] & ~core[a] & core[b]
+            at.append(a[edge])
+            to.append(root[b[edge]])
+        at = np.concatenate(at)
+        found = part.iloc[at][["t", "lat_i", "lon_i", "own"]].assign(core=core[at], label=np.concatenate(to))
+        return found.drop_duplicates(ignore_index=True)
+
+    side = lambda c, d: F.floor((F.col(c) + d) / width).cast("int")
+    every = lambda c: F.explode(F.sequence(side(c, -2 * far), side(c, 2 * far)))
+    rows = cells.select("t", "lat_i", "lon_i", "lat", "lon", every("lat").alias("_p")).withColumn("_q", every("lon"))
+    rows = rows.withColumn("own", (F.col("_p") == side("lat", 0.0)) & (F.col("_q") == side("lon", 0.0)))
+    local = cut(rows.groupBy("t", "_p", "_q").applyInPandas(label, "t int, lat_i int, lon_i int, own boolean, core boolean, label long"))
+    number = F.col("lat_i").cast("bigint") * F.lit(1 << 20) + F.col("lon_i")
+    shared = local.where("core").withColumn("cell", number)
+    copied = shared.where("not own").select("t", "cell", F.col("label").alias("_label"))
+    ties = shared.where("own").join(copied, ["t", "cell"])
+    kept = _merged(local.where("own"), ties.select(_day_node("label").alias("a"), _day_node("_label").alias("b")))
+    return kept.groupBy("t", "lat_i", "lon_i").agg(F.min("label").alias("label"))
 
 
 def blobs(cells: DataFrame, labels: DataFrame, min_cells: int = 1) -> DataFrame:
@@ -116,15 +176,16 @@ def blob_id(lat_i: str = "first_lat_i", lon_i: str = "first_lon_i") -> Column:
 def links(found: DataFrame, radius_km: float) -> DataFrame:
     """(a, b, day_index, km): blobs of a day and blobs of the day before within the radius.
 
-    Blobs of a day lie in bands of latitudes as wide as the radius; those of the day before go to their own band and
-    the two beside it, so that blobs far apart never meet.
+    Blobs of a day lie in one cell of the sphere each; those of the day before go to all cells that they can reach, so
+    that blobs far apart never meet.
     """
     own = found.withColumn("blob", blob_id())
-    band = F.floor((F.col("lat") + 90.0) / max(radius_km / KM_PER_DEGREE_AT_LEAST, 0.01)).cast("int")
-    today = own.select("day_index", band.alias("_band"), F.col("blob").alias("a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    before = own.select((F.col("day_index") + 1).alias("day_index"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"), F.col("blob").alias("b"), "lat", "lon")
+    reach = radius_km / KM_PER_DEGREE_AT_LEAST
+    size, at = sphere.width(reach), (F.col("lat"), F.col("lon"))
+    today = own.select("day_index", sphere.cell(*at, size).alias("_cell"), F.col("blob").alias("a"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    before = own.select((F.col("day_index") + 1).alias("day_index"), F.explode(sphere.cover(*at, reach, size)).alias("_cell"), F.col("blob").alias("b"), "lat", "lon")
     km = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    return today.join(before, ["day_index", "_band"]).withColumn("km", km).where(F.col("km") <= radius_km).select("a", "b", "day_index", "km")
+    return today.join(before, ["day_index", "_cell"]).withColumn("km", km).where(F.col("km") <= radius_km).select("a", "b", "day_index", "km")
 
 
 def linked(found: DataFrame, radius_km: float, in_one_task: int = 200_000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,41 @@ def anomaly(cube: DataFrame, clim: DataFrame, value: str = "value") -> DataFrame
     return known.where(F.col("_own") & (F.col("_known") > 0)).select(columns)
 
 
-def charge(cube: DataFrame, window: int, decay: float, value: str = "anomaly") -> DataFrame:
+#: Largest power of the decay that a block's weights may reach, as a natural logarithm; doubles end at about 709.
+LARGEST_WEIGHT = 500.0
+
+
+def scan_block(window: int, decay: float) -> int:
+    """Days of a block of a decayed scan: eight windows, or fewer where the weights of a block would grow out of bounds."""
+    rate = -math.log1p(-decay)
+    return 8 * window if rate <= 0 else max(1, min(8 * window, int(LARGEST_WEIGHT / rate) - window))
+
+
+def charge(cube: DataFrame, window: int, decay: float, value: str = "anomaly", block: int | None = None) -> DataFrame:
     """The cube with charge, the sum of the last window days' values, each lessened by the decay for each day since.
 
     A null counts as 0, and so do the days before the first. The cube has to be dense in days.
+
+    The sum is the state of the recurrence s(t) = q s(t - 1) + v(t), with q = 1 - decay, less what its window has left
+    behind, q^window s(t - window). States are running sums of v(t) / q^t, so that each row costs the same whatever the
+    window. They start anew in each block of days; a block is preceded by a copy of the last window of the block before,
+    with which every state that it needs is its own. So the days of a cell may lie in as many tasks as it has blocks, and
+    a cube that is dealt by cell already isn't dealt again.
     """
-    own, order = F.coalesce(value, F.lit(0.0)), Window.partitionBy(*CELL).orderBy("t")
-    filled, total = cube.withColumn("_own", own), F.col("_own")
-    for k in range(1, window):
-        total = total + F.lag("_own", k, 0.0).over(order) * F.lit((1.0 - decay) ** k)
-    return filled.withColumn("charge", total).drop("_own")
+    q, own = 1.0 - decay, F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    if q > 0.0:
+        window = max(1, min(window, int(LARGEST_WEIGHT / 2 / -math.log(q)))) if q < 1.0 else window  # what is older has no weight left
+    if window <= 1 or q <= 0.0:
+        return cube.withColumn("charge", own)
+    block = block or scan_block(window, decay)
+    if block < window:
+        raise ValueError(f"a block of {block} days is shorter than the window of {window}")
+    number = F.floor(F.col("t") / block).cast("int")
+    ahead = F.when(F.pmod("t", F.lit(block)) >= block - window, F.array(number, number + 1)).otherwise(F.array(number))
+    rows = cube.withColumn("_own", own).withColumn("_block", F.explode(ahead))
+    days = Window.partitionBy(*CELL, "_block").orderBy("t")
+    since = F.col("t") - F.col("_block") * block  # from -window on
+    weighted = F.sum(F.col("_own") * F.pow(F.lit(1.0 / q), since)).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    states = rows.withColumn("_since", since).withColumn("_state", weighted * F.pow(F.lit(q), since))
+    left = F.lag("_state", window, 0.0).over(days)
+    return states.withColumn("charge", F.col("_state") - left * F.lit(q**window)).where("_since >= 0").drop("_own", "_block", "_since", "_state")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.config import Validation
+from fluxgrid.functions import sphere
 from fluxgrid.functions.geo import KM_PER_DEGREE_AT_LEAST, haversine
 from fluxgrid.functions.stats import binomial_tail, null_recall
 from fluxgrid.operators.grid import ranked, running
@@ -22,22 +23,23 @@ def coverage(catalog: DataFrame, incidents: DataFrame, radius_km: float, lookbac
     to lookahead after the incident. lead: days from the event's end to the incident, at most 0 if it hasn't ended;
     late: days from the incident to the event's start.
 
-    Incidents lie in one bucket of days and one band of latitudes each; events go to all buckets that they can reach.
-    That makes a range join an equality join, and each pair is found once.
+    Incidents lie in one bucket of days and one cell of the sphere each; events go to all buckets and cells that they can
+    reach. That makes a range join an equality join, each pair is found once, and neither events nor incidents far away
+    are looked at, east or west as little as north or south. A cell with very many of either is split by the adaptive join.
     """
-    days, band = max(1, int(lookback + lookahead) + 1), radius_km / KM_PER_DEGREE_AT_LEAST
+    days, reach_deg = max(1, int(lookback + lookahead) + 1), radius_km / KM_PER_DEGREE_AT_LEAST
     bucket = lambda c: F.floor(F.unix_date(c) / days).cast("int")
-    strip = lambda c: F.floor((c + 90.0) / max(band, 0.01)).cast("int")
+    size = sphere.width(reach_deg)
     targets = incidents.select("incident_id", F.col("date_start").alias("_day"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    targets = targets.withColumn("_bucket", bucket("_day")).withColumn("_strip", strip(F.col("_lat")))
+    targets = targets.withColumn("_bucket", bucket("_day")).withColumn("_cell", sphere.cell(F.col("_lat"), F.col("_lon"), size))
     start = F.date_sub("date_start", int(lookahead) + (lookahead > int(lookahead)))
     end = F.date_add("date_end", int(lookback) + (lookback > int(lookback)))
     reach = catalog.select("event_id", "date_start", "date_end", "incept_lat", "incept_lon")
     reach = reach.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
-    reach = reach.withColumn("_strip", F.explode(F.sequence(strip(F.col("incept_lat") - band), strip(F.col("incept_lat") + band))))
+    reach = reach.withColumn("_cell", F.explode(sphere.cover(F.col("incept_lat"), F.col("incept_lon"), reach_deg, size)))
     km = haversine(F.col("incept_lat"), F.col("incept_lon"), F.col("_lat"), F.col("_lon"))
     late, lead = F.datediff("date_start", "_day"), F.datediff("_day", "date_end")
-    pairs = reach.join(targets, ["_bucket", "_strip"]).withColumns({"km": km, "late": late, "lead": lead})
+    pairs = reach.join(targets, ["_bucket", "_cell"]).withColumns({"km": km, "late": late, "lead": lead})
     return pairs.where((F.col("km") <= radius_km) & (F.col("late") <= lookahead) & (F.col("lead") <= lookback)).select("event_id", "incident_id", "km", "lead", "late")
 
 
@@ -88,20 +90,43 @@ def recall_by_precision(incidents: DataFrame, pairs: DataFrame) -> DataFrame:
     return each.groupBy("geo_precision").agg(F.count("*").alias("n"), (F.count("_hit") / F.count("*")).alias("recall"))
 
 
+def _corners(pairs: DataFrame, key: str, radii: Sequence[float], lookbacks: Sequence[float]) -> DataFrame:
+    """(i, j, n): numbers whose sums over all places up to a pair of settings are the keys that the settings reach.
+
+    Each pair stands at the first radius and the first lookback, both in ascending order, that reach it. Of a key's
+    pairs only the front counts: those that no other one is reached before. A key is reached where any point of its front
+    is: that is 1 at each point, less 1 where two points next to each other on the front are both reached.
+    """
+    first = lambda c, steps: F.size(F.filter(F.array(*map(F.lit, map(float, steps))), lambda x: x < F.col(c)))
+    placed = pairs.select(key, first("km", radii).alias("i"), first("lead", lookbacks).alias("j"))
+    least = placed.groupBy(key, "i").agg(F.min("j").alias("j"))
+    before = F.min("j").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    front = least.withColumn("_j", before).where(F.col("_j").isNull() | (F.col("j") < F.col("_j")))
+    point = F.struct("i", "j", F.lit(1).alias("n"))
+    both = F.when(F.col("_j").isNotNull(), F.struct("i", F.col("_j").alias("j"), F.lit(-1).alias("n")))
+    return front.select(F.inline(F.array_compact(F.array(point, both)))).groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
 def sweep(catalog: DataFrame, incidents: DataFrame, radii: Sequence[float], lookbacks: Sequence[float], lookahead: float) -> DataFrame:
     """(k, radius_km, lookback, incidents_hit, predictions_that_hit, recall, precision) of each pair of settings.
 
-    One join at the widest setting; the others are conditions on its pairs. k numbers the settings in order.
+    One join at the widest setting. What each incident and each event is reached by comes down to the front of its pairs,
+    whatever the number of settings, and a table of sums over settings counts those reached. k numbers the settings in order.
     """
-    pairs = coverage(catalog, incidents, max(radii), max(lookbacks), lookahead)
-    grid = [(i * len(lookbacks) + j, float(r), float(b)) for i, r in enumerate(radii) for j, b in enumerate(lookbacks)]
-    settings = catalog.sparkSession.createDataFrame(grid, "k int, radius_km double, lookback double")
-    fits = (F.col("km") <= F.col("radius_km")) & (F.col("lead") <= F.col("lookback"))
-    hits = pairs.join(F.broadcast(settings), fits).groupBy("k").agg(F.countDistinct("incident_id").alias("_i"), F.countDistinct("event_id").alias("_e"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return settings.join(hits, "k", "left").crossJoin(F.broadcast(totals(catalog, incidents))).select(
-        "k", "radius_km", "lookback", zero("_i").alias("incidents_hit"), zero("_e").alias("predictions_that_hit"),
-        _share(zero("_i"), F.col("n_incidents")).alias("recall"), _share(zero("_e"), F.col("n_predicted")).alias("precision"),
+    pairs = cut(coverage(catalog, incidents, max(radii), max(lookbacks), lookahead).select("event_id", "incident_id", "km", "lead"))
+    across, back = sorted(set(map(float, radii))), sorted(set(map(float, lookbacks)))
+    grid = [(k, r, b, across.index(r), back.index(b)) for k, (r, b) in enumerate((float(r), float(b)) for r in radii for b in lookbacks)]
+    out = catalog.sparkSession.createDataFrame(grid, "k int, radius_km double, lookback double, i int, j int")
+    every = catalog.sparkSession.createDataFrame([(i, j) for i in range(len(across)) for j in range(len(back))], "i int, j int")
+    up = lambda by, along: Window.partitionBy(by).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    for key, name in (("incident_id", "_i"), ("event_id", "_e")):
+        table = every.join(F.broadcast(_corners(pairs, key, across, back)), ["i", "j"], "left")  # no more rows than settings
+        sums = table.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(up("i", "j"))).withColumn("n", F.sum("n").over(up("j", "i")))
+        out = out.join(F.broadcast(sums.withColumnRenamed("n", name)), ["i", "j"])
+    hit = lambda c: F.col(c).cast("bigint")
+    return out.crossJoin(F.broadcast(totals(catalog, incidents))).select(
+        "k", "radius_km", "lookback", hit("_i").alias("incidents_hit"), hit("_e").alias("predictions_that_hit"),
+        _share(hit("_i"), F.col("n_incidents")).alias("recall"), _share(hit("_e"), F.col("n_predicted")).alias("precision"),
     )
 
 
