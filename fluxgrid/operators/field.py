@@ -19,7 +19,7 @@ def with_permittivity(terrain: DataFrame, method: str, eps_min: float, eps_max:
     if slope is None or method in ("linear", "log"):
         column = P.permittivity(method, P.Terrain(F.col("elevation"), params=params), eps_min, eps_max)
         return terrain.withColumn("eps", column)
-    steep = terrain.agg(F.percentile(slope, 0.99).alias("_p99"))
+    steep = quantile(terrain, slope, 0.99, "_p99")
     column = P.permittivity(method, P.Terrain(F.col("elevation"), F.col(slope), F.col("_p99"), params), eps_min, eps_max)
     return terrain.crossJoin(F.broadcast(steep)).withColumn("eps", column).drop("_p99")
 

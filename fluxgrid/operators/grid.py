@@ -54,23 +54,25 @@ def daily(df: DataFrame, statistic: str, time: str = "ts", value: str = "value",
 
 def densified(observed: DataFrame, cells: DataFrame, value: str = "value") -> DataFrame:
     """A cube with a row for each day from the first to the last and each cell; what wasn't observed is null."""
-    span = observed.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    days = span.where("a is not null").select("a", F.explode(F.sequence("a", "b")).alias("day"))
-    days = days.select("day", F.datediff("day", "a").alias("t"))
-    return days.crossJoin(small(cells)).join(observed.select("day", *CELL, value), ["day", *CELL], "left").select("day", "t", *CELL, "lat", "lon", value)
+    spark = observed.sparkSession
+    span = observed.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    n = (span.b - span.a).days + 1 if span.a else 0
+    count = F.col("id").cast("int")
+    days = spark.range(0, n, 1, max(1, min(n, 1000))).select(F.date_add(F.lit(span.a).cast("date"), count).alias("day"), count.alias("t"))
+    return days.join(small(cells)).join(observed.select("day", *CELL, value), ["day", *CELL], "left").select("day", "t", *CELL, "lat", "lon", value)
 
 
-def _weights(spark: SparkSession, source: Sequence[float], target: Sequence[float], name: str) -> DataFrame:
-    """(target index, target, source index, weight): the two source points around each target within the hull."""
+def _along(values: DataFrame, source: Sequence[float], target: Sequence[float], name: str, by: Sequence[str]) -> DataFrame:
+    """values(by, _{name}_i, _v) brought to the target's points along one axis, as {name}_i; those outside the hull, or next to a missing value, are left out."""
     rows, x = [], np.asarray(source, float)
     for i, at in enumerate(target):
         if len(x) > 1 and x[0] <= at <= x[-1]:
             k = min(int(np.searchsorted(x, at, "right")) - 1, len(x) - 2)
             w = (at - x[k]) / (x[k + 1] - x[k])
-            rows += [(i, float(at), k, float(1 - w)), (i, float(at), k + 1, float(w))]
-        else:
-            rows.append((i, float(at), None, None))
-    return spark.createDataFrame(rows, f"{name}_i int, {name} double, _{name}_i int, _{name}_w double").coalesce(1)
+            rows += [(k, i, float(1 - w)), (k + 1, i, float(w))]
+    band = values.sparkSession.createDataFrame(rows, f"_{name}_i int, {name}_i int, _w double").coalesce(1)  # two rows for a target
+    joined = values.where("_v is not null").join(small(band), f"_{name}_i")
+    return joined.groupBy(*by, f"{name}_i").agg(F.when(F.count("*") == 2, F.sum(F.col("_w") * F.col("_v"))).alias("_v"))
 
 
 def regridded(field: DataFrame, source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]], value: str = "value", by: Sequence[str] = (), wrap: bool = False) -> DataFrame:
@@ -78,26 +80,24 @@ def regridded(field: DataFrame, source: tuple[Sequence[float], Sequence[float]],
 
     A target outside the source's hull, or with a missing corner, has no value. wrap: the longitudes close to a
     circle, so that a target between the last and the first one has a value. A field whose axes are the target's,
-    latitudes within half a step, comes back as it is, so that nothing is smoothed.
+    latitudes within half a step, comes back as it is, so that nothing is smoothed. Latitudes and longitudes are brought
+    over one after the other, each value going to the targets that it is next to, after maps are dealt once by what tells
+    them apart.
     """
-    spark = field.sparkSession
     lats, lons = list(source[0]), list(source[1])
     if same_axes(source, target):
         return field.select(*by, "lat_i", "lon_i", "lat", "lon", value)
-    values = field.select(*by, F.col("lat_i").alias("_lat_i"), F.col("lon_i").alias("_lon_i"), F.col(value).alias("_v"))
+    values = field.select(*by, F.col("lat_i").alias("_lat_i"), F.col("lon_i").alias("_lon_i"), F.col(value).cast("double").alias("_v"))
     if wrap:
         n = len(lons)
         lons = [lons[-1] - 360, *lons, lons[0] + 360]
         again = F.when(F.col("_lon_i") == n - 1, F.array(F.lit(n), F.lit(0))).when(F.col("_lon_i") == 0, F.array(F.lit(1), F.lit(n + 1)))
         values = values.withColumn("_lon_i", F.explode(F.coalesce(again, F.array(F.col("_lon_i") + 1))))
-    across = _weights(spark, lats, target[0], "lat").crossJoin(_weights(spark, lons, target[1], "lon"))
-    groups = values.select(*by).distinct() if by else None
-    wanted = across if groups is None else groups.crossJoin(small(across))
-    joined = wanted.join(values, [*by, "_lat_i", "_lon_i"], "left")
-    product = F.col("_lat_w") * F.col("_lon_w") * F.col("_v")
-    return joined.groupBy(*by, "lat_i", "lon_i", "lat", "lon").agg(
-        F.when(F.count("_v") == F.count("*"), F.sum(product)).alias(value)
-    )
+    dealt = values.repartition(*by) if by else values
+    across = _along(_along(dealt, lats, target[0], "lat", [*by, "_lon_i"]), lons, target[1], "lon", [*by, "lat_i"])
+    cells = grid(field.sparkSession, target[0], target[1])
+    wanted = cells if not by else values.select(*by).distinct().join(small(cells))
+    return wanted.join(across, [*by, *CELL], "left").select(*by, "lat_i", "lon_i", "lat", "lon", F.col("_v").alias(value))
 
 
 def same_axes(source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]]) -> bool:

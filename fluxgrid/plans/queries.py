@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxgrid.config import Permittivity
 from fluxgrid.functions import geo, records
-from fluxgrid.functions.stats import quantile
+from fluxgrid.functions.stats import quantile, quantiles
 from fluxgrid.operators import catalog, cluster, field, grid, temporal, validate
 from fluxgrid.plans.model import CONFIG, LATS, LONS, LOOKAHEAD, LOOKBACK, RADIUS_KM, cube, incidents, long_cube, model, observations, table, terrain
 from fluxgrid.session import cut
@@ -294,9 +294,9 @@ def trigger_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def plot_range(spark: SparkSession, d: str) -> DataFrame:
-    own = model(spark, d).anomaly.select("anomaly", F.abs("anomaly").alias("size"))
-    low_high = F.percentile("anomaly", F.array(F.lit(0.01), F.lit(0.99)))
-    return own.agg(F.percentile("size", 0.99).alias("vabs"), low_high.alias("p")).select(r("vabs", 5), F.round(F.col("p")[0], 5).alias("vmin"), F.round(F.col("p")[1], 5).alias("vmax"))
+    own = model(spark, d).anomaly.select("anomaly")
+    wanted = {"vabs": (F.abs("anomaly"), 0.99), "vmin": ("anomaly", 0.01), "vmax": ("anomaly", 0.99)}
+    return quantiles(own, wanted).select(r("vabs", 5), r("vmin", 5), r("vmax", 5))
 
 
 @query
@@ -352,11 +352,10 @@ def active_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def field_summary(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("anomaly")
-    return model(spark, d).anomaly.agg(
-        F.round(F.min(v), 5).alias("lo"), F.round(F.max(v), 5).alias("hi"), F.round(F.avg(v), 5).alias("mean"),
-        F.round(F.percentile(v, 0.5), 5).alias("median"), F.count_if(v > 0).alias("positive"), F.count(v).alias("n"),
-    )
+    own, v = model(spark, d).anomaly.select("anomaly"), F.col("anomaly")
+    told = own.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.count_if(v > 0).alias("positive"), F.count(v).alias("n"))
+    both = told.crossJoin(F.broadcast(quantile(own, "anomaly", 0.5, "median")))
+    return both.select(*(r(c, 5) for c in ("lo", "hi", "mean", "median")), "positive", "n")
 
 
 @query

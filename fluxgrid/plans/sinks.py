@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from fluxgrid.config import Validation
+from fluxgrid.functions.stats import quantiles
 
 
 def write_cube(cube: DataFrame, path: str) -> None:
@@ -45,9 +46,10 @@ def write_summary(report: DataFrame, path: str | Path) -> None:
 def drawn(field: DataFrame, value: str, diverging: bool = False, zones: DataFrame | None = None) -> DataFrame:
     """(lat, lon, value, vmin, vmax, zone) of a map: the range by percentiles, symmetric if diverging, and flagged cells."""
     if diverging:
-        span = field.agg(F.coalesce(F.nullif(F.percentile(F.abs(value), 0.99), F.lit(0.0)), F.lit(1.0)).alias("b")).select((-F.col("b")).alias("vmin"), F.col("b").alias("vmax"))
+        span = quantiles(field, {"b": (F.abs(value), 0.99)}).select(F.coalesce(F.nullif("b", F.lit(0.0)), F.lit(1.0)).alias("b"))
+        span = span.select((-F.col("b")).alias("vmin"), F.col("b").alias("vmax"))
     else:
-        span = field.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p")).select(F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
+        span = quantiles(field, {"vmin": (value, 0.01), "vmax": (value, 0.99)})
     out = field.select("lat_i", "lon_i", "lat", "lon", F.col(value).alias("value")).crossJoin(F.broadcast(span))
     if zones is None:
         return out.withColumn("zone", F.lit(False))
