@@ -80,6 +80,14 @@ CTE: dict[str, str] = {
     "near": f"select c.event_id, i.incident_id, {_km('c.incept_lat', 'c.incept_lon', 'i.lat', 'i.lon')} km, (i.date_start - c.date_end)::int as lead_, (c.date_start - i.date_start)::int as late_, c.peak_E from cat0 c cross join inc i",
     "pairs": "select * from near where km <= 1500 and late_ <= 2 and lead_ <= 2",
     "sizes": "select (select count(*) from cat0) n_predicted, (select count(*) from inc) n_incidents, (select greatest(1, max(date_start) - min(date_start)) from inc) total_days",
+    "ldays": "select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from long",
+    "ldense": "select (d.day - (select min(day) from long))::int as t, i.range::int as lat_i, j.range::int as lon_i, l.value from ldays d cross join range(2) i cross join range(5) j "
+        "left join long l on l.day = d.day and l.lat_i = i.range and l.lon_i = j.range",
+    "rec": "select c_custkey, printf('%d-%04d', 2000 + c_custkey // 10000, c_custkey % 10000) as key, case when c_custkey % 11 != 0 then make_date(1990 + c_custkey % 30, "
+        "least(greatest(case when c_custkey % 7 != 0 then c_custkey % 15 else 1 end, 1), 12), least(greatest(case when c_custkey % 5 != 0 then c_custkey % 33 else 1 end, 1), 28)) end as date_start, "
+        "case when c_custkey % 11 != 0 then make_date(1990 + c_custkey % 30, 12, least(greatest(c_custkey % 40, 1), 28)) end as date_end from customer",
+    "climate_orders": "select * from (select *, list_extract(['Flood', 'Earthquake', 'Extreme temperature', 'Ash fall', 'Tropical STORM', 'Epidemic', 'Wildfire (forest)', 'Drought'], o_orderkey % 8 + 1) as type from orders) "
+        "where type in ('Flood', 'Extreme temperature', 'Tropical STORM', 'Wildfire (forest)', 'Drought')",
     "long": "select l_shipdate::date as day, (l_suppkey % 2)::int lat_i, (l_suppkey // 2 % 5)::int lon_i, avg(l_quantity) as value from lineitem group by all",
     "lclim": "select dayofyear(day) as doy, lat_i, lon_i, avg(value) as clim from long group by all",
     "lpos": "select doy, row_number() over (order by doy) - 1 as pos, count(*) over () as n from (select distinct doy from lclim)",
@@ -110,6 +118,17 @@ CTE: dict[str, str] = {
 _AT = "t, lat_i, lon_i"
 _BLOB_KEY = "{t} || '-' || {i} || '-' || {j}"
 SQL: dict[str, str] = {
+    "chunk_scan": f"select day, {_AT}, lat, lon, round(value, 5) as value from cube",
+    "chunk_slice": f"select day, {_AT}, round(value, 5) as value from cube where lat between -45 and 45 and lon between -100 and 100 and day between '2024-01-05' and '2024-01-12'",
+    "incidents_located": "select printf('%d-%04d', 2000 + o_custkey // 10000, o_custkey % 10000) || '_' || o_orderkey as incident_id, type, 'C\u00f4te' as country, date_start, date_end, "
+        "(-60.0 + o_custkey * 37 % 121)::double as lat, (-180.0 + o_orderkey * 53 % 360)::double as lon, 'exact' as geo_precision from climate_orders join rec on rec.c_custkey = o_custkey "
+        "where o_orderkey % 9 != 0 and date_start is not null and -60 + o_custkey * 37 % 121 between -50 and 50 and -180 + o_orderkey * 53 % 360 between -120 and 120",
+    "incidents_recorded": "select key || '-' || c_mktsegment as incident_id, type, c_mktsegment as subtype, 'land' as country, 'N' || c_nationkey as iso, lat, lon, date_start, date_end, geo_precision "
+        "from (select c.c_mktsegment, c.c_nationkey, rec.*, list_extract(['Flood', 'Earthquake', 'Extreme temperature', 'Ash fall', 'Tropical STORM', 'Epidemic', 'Wildfire (forest)', 'Drought'], c.c_custkey % 8 + 1) as type, "
+        "case when c.c_custkey % 3 != 0 and c.c_custkey % 4 != 0 then (c.c_custkey % 90)::double when c.c_nationkey != 7 then -48.0 + 4.0 * c.c_nationkey end as lat, "
+        "case when c.c_custkey % 3 != 0 and c.c_custkey % 4 != 0 then (c.c_custkey % 180)::double when c.c_nationkey != 7 then -150.0 + 12.0 * c.c_nationkey end as lon, "
+        "case when c.c_custkey % 3 != 0 and c.c_custkey % 4 != 0 then 'exact' else 'estimated' end as geo_precision from customer c join rec on rec.c_custkey = c.c_custkey) "
+        "where type in ('Flood', 'Extreme temperature', 'Tropical STORM', 'Wildfire (forest)', 'Drought') and date_start is not null and lat between -50 and 50 and lon between -120 and 120",
     "scan_cube": f"select day, {_AT}, lat, lon, round(value, 5) as value from cube",
     "normalize_lon": "select o_orderkey, case when k > 180 or m > 180 then (k + 180) % 360 - 180 else k end as lon from (select o_orderkey, (o_orderkey * 53 % 360)::double k, max(o_orderkey * 53 % 360) over () m from orders)",
     "domain_slice": f"select day, {_AT}, round(value, 5) as value from cube where lat between -45 and 45 and lon between -100 and 100 and day between '2024-01-05' and '2024-01-12'",
@@ -165,6 +184,8 @@ SQL: dict[str, str] = {
     "active_days": "select count(distinct t) as active_days from blobs",
     "field_summary": "select round(min(anomaly), 5) as lo, round(max(anomaly), 5) as hi, round(avg(anomaly), 5) as mean, round(quantile_cont(anomaly, 0.5), 5) as median, count(*) filter (anomaly > 0) as positive, count(anomaly) as n from anom",
     "dedup_first": "select l_orderkey, l_linenumber, l_partkey, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) r from lineitem) where r = 1",
+    "charge_month": "select x.t, x.lat_i, x.lon_i, round(sum(coalesce(y.value, 0) * pow(0.98, x.t - y.t)), 5) as charge from ldense x join ldense y on y.lat_i = x.lat_i and y.lon_i = x.lon_i "
+        "and y.t between x.t - 29 and x.t group by all",
     "charge": f"select {_AT}, round(v, 5) as charge from q",
     "charge_nodecay": f"select {_AT}, round(v, 5) as charge from q0",
     "gradient_magnitude": f"select {_AT}, round(g, 9) as gradient from grad",

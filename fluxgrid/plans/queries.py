@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.config import Permittivity
+from fluxgrid.config import Domain, Permittivity
 from fluxgrid.functions import geo, records
 from fluxgrid.functions.stats import quantile, quantiles
 from fluxgrid.operators import catalog, cluster, field, grid, temporal, validate
 from fluxgrid.plans.model import CONFIG, LATS, LONS, LOOKAHEAD, LOOKBACK, RADIUS_KM, cube, incidents, long_cube, model, observations, table, terrain
-from fluxgrid.session import cut
+from fluxgrid.session import cut, remove, shared_folder
 from fluxgrid.sources import incidents as places
 from fluxgrid.sources import synthetic
+from fluxgrid.sources.chunks import read_chunks, write_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +49,87 @@ def scan_cube(spark: SparkSession, d: str) -> DataFrame:
     return cube(spark, d).select("day", *_at("lat", "lon", r("value", 5)))
 
 
+CHUNKS = (8, 4, 6)
+
+
+@contextmanager
+def _stores(spark: SparkSession) -> Iterator[str]:
+    """A folder of the shared store that goes at the end."""
+    path = f"{shared_folder(spark)}/stores-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+@query
+def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The cube, written as a store of chunks and read again."""
+    with _stores(spark) as path:
+        write_chunks(cube(spark, d), path, LATS, LONS, CHUNKS)
+        return cut(read_chunks(spark, path).select("day", *_at("lat", "lon", r("value", 5))))
+
+
+@query
+def chunk_slice(spark: SparkSession, d: str) -> DataFrame:
+    """A box and some days of the cube's store; the other chunks stay closed."""
+    box = {"lat": (-45.0, 45.0), "lon": (-100.0, 100.0), "days": ("2024-01-05", "2024-01-12")}
+    with _stores(spark) as path:
+        write_chunks(cube(spark, d), path, LATS, LONS, CHUNKS)
+        return cut(read_chunks(spark, path, **box).select("day", *_at(r("value", 5))))
+
+
+def _csv(df: DataFrame, path: str) -> str:
+    df.write.csv(path, header=True, encoding="ISO-8859-1", quoteAll=True)
+    return path
+
+
+def _record_columns() -> dict[str, Column]:
+    """Customers as dated records: numbers, and parts of dates, some of them missing or no numbers."""
+    key = F.col("c_custkey")
+    year = F.when(key % 11 == 0, "n/a").otherwise((1990 + key % 30).cast("string"))
+    return {
+        "DisNo.": F.format_string("%d-%04d-%s", 2000 + F.floor(key / 10000), key % 10000, F.col("c_mktsegment")), "Start Year": year,
+        "Start Month": F.when(key % 7 != 0, (key % 15).cast("string")), "Start Day": F.when(key % 5 != 0, (key % 33).cast("string")),
+        "End Year": year, "End Month": F.lit("12"), "End Day": (key % 40).cast("string"),
+    }
+
+
+BOX = Domain(lat_min=-50.0, lat_max=50.0, lon_min=-120.0, lon_max=120.0)
+
+
+@query
+def incidents_located(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a CSV file of places, in Latin-1, with the dates of another file's records."""
+    key, record = F.col("o_orderkey"), F.col("o_custkey")
+    own = table(spark, d, "orders").select(
+        _kind().alias("disastertype"), F.format_string("%d-%04d", 2000 + F.floor(record / 10000), record % 10000).alias("disasterno"), key.alias("geo_id"),
+        F.lit("C\u00f4te").alias("country"), F.when(key % 9 != 0, (-60.0 + record * 37 % 121).cast("string")).otherwise("unknown").alias("latitude"),
+        (-180.0 + key * 53 % 360).alias("longitude"),
+    )
+    with _stores(spark) as path:
+        files = _csv(own, f"{path}/places"), _csv(table(spark, d, "customer").select(*(c.alias(n) for n, c in _record_columns().items())), f"{path}/dates")
+        return cut(places.incidents(spark, "located", files[1], files[0], domain=BOX))
+
+
+@query
+def incidents_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a CSV file of dated records, their places filled in from a file of centroids."""
+    key = F.col("c_custkey")
+    own = table(spark, d, "customer").withColumn("o_orderkey", key).select(
+        *(c.alias(n) for n, c in _record_columns().items()), _kind().alias("Disaster Type"), F.col("c_mktsegment").alias("Disaster Subtype"), F.lit("land").alias("Country"),
+        F.concat(F.lit(" N"), F.col("c_nationkey").cast("string")).alias("ISO"),
+        F.when(key % 3 != 0, (key % 90).cast("string")).otherwise("?").alias("Latitude"), F.when(key % 4 != 0, (key % 180).cast("string")).alias("Longitude"),
+    )
+    centres = table(spark, d, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso3"), F.col("n_name").alias("country"),
+        F.when(F.col("n_nationkey") != 7, -48.0 + 4.0 * F.col("n_nationkey")).alias("lat"), (-150.0 + 12.0 * F.col("n_nationkey")).alias("lon"),
+    )
+    with _stores(spark) as path:
+        files = _csv(own, f"{path}/records"), _csv(centres, f"{path}/centroids")
+        return cut(places.incidents(spark, "recorded", files[0], centres=files[1], domain=BOX))
+
+
 @query
 def normalize_lon(spark: SparkSession, d: str) -> DataFrame:
     wide = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 53 % 360).cast("double").alias("lon"))
@@ -376,6 +460,14 @@ def charge_nodecay(spark: SparkSession, d: str) -> DataFrame:
     return temporal.charge(model(spark, d).anomaly, CONFIG.charge.window_days, 0.0).select(_at(r("charge", 5)))
 
 
+@query
+def charge_month(spark: SparkSession, d: str) -> DataFrame:
+    """A charge of thirty days over several years of line items."""
+    own = long_cube(spark, d)
+    dense = grid.densified(own, grid.grid(spark, [0.0, 1.0], [float(j) for j in range(5)]))
+    return temporal.charge(dense, 30, 0.02, "value").select(_at(r("charge", 5)))
+
+
 @query
 def gradient_magnitude(spark: SparkSession, d: str) -> DataFrame:
     return model(spark, d).gradient.select(_at(r("gradient", 9)))
