@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from fluxgrid.functions.stats import quantile
 from fluxgrid.operators.field import LEAST_EPS
+from fluxgrid.operators.grid import CELL
+from fluxgrid.session import BROADCAST_BYTES, cut
+
+#: What the two places of an event take in a broadcast table, at most.
+PLACE_BYTES = 256
 
 
 def references(field: DataFrame, terrain: DataFrame) -> DataFrame:
@@ -22,22 +27,30 @@ def summaries(linked: DataFrame) -> DataFrame:
     return linked.groupBy("event_id").agg(
         F.min("day").alias("date_start"), F.max("day").alias("date_end"),
         (F.max("day_index") - F.min("day_index") + 1).cast("int").alias("duration_days"),
-        F.min_by(F.struct("lat", "lon", "day_index"), first).alias("_at"),
+        F.min_by(F.struct("lat", "lon", "day_index", "at_lat_i", "at_lon_i"), first).alias("_at"),
         F.max("peak_E").alias("peak_E"), F.max("n_cells").alias("max_cells"),
-    ).select("event_id", "date_start", "date_end", "duration_days", F.col("_at.lat").alias("incept_lat"), F.col("_at.lon").alias("incept_lon"), F.col("_at.day_index").alias("_t"), "peak_E", "max_cells")
+    ).select(
+        "event_id", "date_start", "date_end", "duration_days", F.col("_at.lat").alias("incept_lat"), F.col("_at.lon").alias("incept_lon"), F.col("_at.day_index").alias("_t"),
+        F.col("_at.at_lat_i").alias("_lat_i"), F.col("_at.at_lon_i").alias("_lon_i"), "peak_E", "max_cells",
+    )
 
 
 def catalog(linked: DataFrame, field: DataFrame, terrain: DataFrame, window: int) -> DataFrame:
     """The summaries with trigger, heat_score, terrain_score and precursor_ramp at each event's first place and day.
 
     heat_score is the gradient there over its reference, terrain_score 1 / eps over its own; the larger one names the
-    trigger. precursor_ramp is the change of charge for each day since window days before, or since the first day.
+    trigger. precursor_ramp is the change of charge for each day since window days before, or since the first day. Both
+    moments of all events are looked up in one pass over the field, which isn't shuffled while the events are few.
     """
-    events = summaries(linked)
-    here = field.select(F.col("t").alias("_t"), F.col("lat").alias("incept_lat"), F.col("lon").alias("incept_lon"), "gradient", "eps", F.col("charge").alias("_now"))
-    before = field.select(F.col("t").alias("_from"), F.col("lat").alias("incept_lat"), F.col("lon").alias("incept_lon"), F.col("charge").alias("_then"))
-    joined = events.withColumn("_from", F.greatest(F.lit(0), F.col("_t") - window)).join(here, ["_t", "incept_lat", "incept_lon"], "left")
-    joined = joined.join(before, ["_from", "incept_lat", "incept_lon"], "left").crossJoin(F.broadcast(references(field, terrain)))
+    events = cut(summaries(linked).withColumn("_from", F.greatest(F.lit(0), F.col("_t") - window)))
+    moment = F.explode(F.array(F.struct(F.lit(True).alias("now"), F.col("_t").alias("t")), F.struct(F.lit(False).alias("now"), F.col("_from").alias("t"))))
+    places = events.select("event_id", moment.alias("m"), F.col("_lat_i").alias("lat_i"), F.col("_lon_i").alias("lon_i")).select("event_id", "m.*", "lat_i", "lon_i")
+    if events.count() * PLACE_BYTES <= BROADCAST_BYTES:
+        places = F.broadcast(places)
+    met = field.select("t", *CELL, "gradient", "eps", "charge").join(places, ["t", *CELL])
+    at = lambda now, c: F.max(F.when(F.col("now") == now, F.col(c)))
+    looked = met.groupBy("event_id").agg(*(at(True, c).alias(c) for c in ("gradient", "eps")), at(True, "charge").alias("_now"), at(False, "charge").alias("_then"))
+    joined = events.join(looked, "event_id", "left").crossJoin(F.broadcast(references(field, terrain)))
     heat = F.col("gradient") / F.col("g_ref")
     ground = 1.0 / F.greatest("eps", F.lit(LEAST_EPS)) / F.col("inv_ref")
     ramp = (F.col("_now") - F.col("_then")) / F.greatest(F.lit(1), F.col("_t") - F.col("_from"))

@@ -152,19 +152,20 @@ def dbscan(cells: DataFrame, eps: float, min_samples: int, tile: int = TILE) ->
 
 
 def blobs(cells: DataFrame, labels: DataFrame, min_cells: int = 1) -> DataFrame:
-    """(day_index, day, lat, lon, n_cells, peak_E, first_lat_i, first_lon_i) of blobs of enough cells.
+    """(day_index, day, lat, lon, n_cells, peak_E, first_lat_i, first_lon_i, at_lat_i, at_lon_i) of blobs of enough cells.
 
-    lat and lon are the cell with the largest E, the first in row-major order of equals.
+    lat and lon, and at_lat_i and at_lon_i, are the cell with the largest E, the first in row-major order of equals.
     """
     best = F.struct("E", -F.col("lat_i"), -F.col("lon_i"))
     first = F.min(F.struct("lat_i", "lon_i"))
     own = cells.join(labels, ["t", "lat_i", "lon_i"]).groupBy("t", "label").agg(
-        F.min("day").alias("day"), F.max_by(F.struct("lat", "lon"), best).alias("_at"), F.count("*").alias("n_cells"),
+        F.min("day").alias("day"), F.max_by(F.struct("lat", "lon", "lat_i", "lon_i"), best).alias("_at"), F.count("*").alias("n_cells"),
         F.max("E").alias("peak_E"), first.alias("_first"),
     )
     return own.where(F.col("n_cells") >= min_cells).select(
         F.col("t").alias("day_index"), "day", F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"), "n_cells", "peak_E",
         F.col("_first.lat_i").alias("first_lat_i"), F.col("_first.lon_i").alias("first_lon_i"),
+        F.col("_at.lat_i").alias("at_lat_i"), F.col("_at.lon_i").alias("at_lon_i"),
     )
 
 
