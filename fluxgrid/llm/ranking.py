@@ -41,7 +41,7 @@ CHUNK_TASKS = 8
 #: Characters of items, about, that are looked up at once.
 ITEM_CHARS = 1 << 20
 #: How many documents each item gets, and how many of its best shards are scored first.
-TOP, SEEDS = 50, 4
+TOP, SEEDS = 50, 16
 #: Products of postings and items that are made at once.
 PIECE = 1 << 22
 #: Stands for a document without an id, and sorts before all others.
