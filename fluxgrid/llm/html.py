@@ -21,7 +21,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Factors of a block's score in an article's element, and under a class or id that names what is no article.
 MARK, HINT = 2.0, 0.05
-#: Share of the content paths' text that the article's element has to hold.
-MOST = 0.8
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
 _SPACE = re.compile(r"\s+")
@@ -67,6 +65,9 @@ BESIDE = frozenset(
     "area articles bar block bottom box btn button buttons container content external feed form group header icons inner item items left links list main more news outer page panel post posts right "
     "row section site slot story stories thread title top unit wrap wrapper".split()
 )
+#: Words of readers' comments and paid matter, which name no article in any company but these.
+STRONG = frozenset("comment comments commenter disqus advert adverts advertisement advertisements advertorial sponsored".split())
+WITHOUT = frozenset("no non not without has have with enabled disabled open opened closed allow allowed hide show free count counts".split())
 READERS, SAYINGS = frozenset("user users reader readers visitor visitors guest customer".split()), frozenset("comment comments discussion feedback notes opinions posts replies reviews".split())
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
@@ -75,7 +76,7 @@ def names_no_article(names: str) -> bool:
     """Whether one of a class attribute's names, or an id, stands for something beside the article."""
     for name in names.split():
         words = {w.lower() for w in _WORD.findall(name)}
-        if words & NAMING and words <= NAMING | BESIDE or words & READERS and words & SAYINGS and words <= READERS | SAYINGS | BESIDE:
+        if words & STRONG and not words & WITHOUT or words & NAMING and words <= NAMING | BESIDE or words & READERS and words & SAYINGS and words <= READERS | SAYINGS | BESIDE:
             return True
     return False
 
@@ -262,35 +263,57 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def content_paths(page: Page, threshold: float = THRESHOLD) -> set[int]:
-    """The paths of the blocks that the ratios take for content; the best one if none reaches the threshold."""
-    found = page.blocks
+def _forget_headed(page: Page) -> None:
+    """An element that holds a first heading is no ad or comment, whatever it is called."""
+    headed = [t == "h1" for t in page.tag]
+    for k in range(len(headed) - 1, 0, -1):
+        headed[page.parent[k]] |= headed[k]
+    page.hint = [0 if headed[h] else h for h in page.hint]
+
+
+def candidates(page: Page) -> list[Block]:
+    """The blocks among which the article is looked for: those in no element named otherwise, if any of them is more than links."""
+    own = [b for b in page.blocks if not page.hint[b.element]]
+    return own if any(2 * b.linked < len(b.text) for b in own) else page.blocks
+
+
+def content_paths(page: Page, found: list[Block], threshold: float = THRESHOLD) -> tuple[set[int], set[int]]:
+    """The paths of the blocks that the ratios take for content, the best one if none reaches the threshold; and those
+    among them that reach it by their own ratios, without what smoothing lends them from their neighbours."""
     if not found:
-        return set()
+        return set(), set()
     paths, which = np.unique(np.array([b.path for b in found]), return_inverse=True)
     number = np.bincount(which)
-
-    def ratio(values: list[int]) -> np.ndarray:
-        """The mean of its path for each block, smoothed over neighbouring blocks."""
-        return _smooth((np.bincount(which, weights=np.array(values, float)) / number)[which])
-
     length = [len(b.text) for b in found]
-    free = ratio([n - b.linked for n, b in zip(length, found, strict=True)]) / ratio(length)
+    free, signs = [n - b.linked for n, b in zip(length, found, strict=True)], [len(_PUNCTUATION.findall(b.text)) for b in found]
     weight = np.array([(MARK if b.marked else 1.0) * (HINT if page.hint[b.element] else 1.0) for b in found])
-    score = ratio(length) * (1 + ratio([len(_PUNCTUATION.findall(b.text)) for b in found])) * free * weight
-    mean = np.bincount(which, weights=score) / number
-    return set(paths[mean >= min(threshold * score.std(), mean.max())].tolist())
 
-
-def article(page: Page, paths: set[int]) -> int:
-    """The smallest structural element with most text of the content paths, and with the headings next to it."""
-    parent, tag, found = page.parent, page.tag, page.blocks
+    def scores(smooth: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The score of each block, from the means of its path."""
+        ratio = lambda values: smooth((np.bincount(which, weights=np.array(values, float)) / number)[which])
+        return ratio(length) * (1 + ratio(signs)) * ratio(free) / ratio(length) * weight
+
+    score = scores(_smooth)
+    mean, own = (np.bincount(which, weights=x) / number for x in (score, scores(lambda x: x)))
+    least = threshold * score.std()
+    content = mean >= min(least, mean.max())
+    text = np.bincount(which, weights=np.array(length, float))
+    bare = np.zeros(len(paths), bool)
+    bare[which] = [page.tag[b.element] in STRUCTURE for b in found]
+    strong = content & (own >= min(least, own[content].max()))
+    strong &= ~bare | (text == text[strong].max())  # text right in a container may be a notice; not where the article is written so
+    return set(paths[content].tolist()), set(paths[strong].tolist())
+
+
+def article(page: Page, found: list[Block], paths: set[int], strong: set[int]) -> int:
+    """The smallest structural element with all blocks of the strong paths, and with the headings next to it."""
+    parent, tag = page.parent, page.tag
     weight = [0] * len(parent)
     for b in found:
-        weight[b.element] += len(b.text) if b.path in paths else 0
+        weight[b.element] += b.path in strong
     for k in range(len(weight) - 1, 0, -1):
         weight[parent[k]] += weight[k]
-    at = max(k for k, w in enumerate(weight) if w >= MOST * weight[0])
+    at = max(k for k, w in enumerate(weight) if w == weight[0])
     while at and tag[at] not in STRUCTURE:
         at = parent[at]
     chain = [at]
@@ -317,19 +340,43 @@ def _within(page: Page, element: int) -> list[bool]:
     return out
 
 
+def _parts(page: Page, found: list[Block], at: int) -> list[list[Block]]:
+    """The blocks by the child of an element that they lie in, or that they are."""
+    top = list(range(len(page.parent)))
+    for k in range(1, len(top)):
+        if page.parent[k] != at:
+            top[k] = top[page.parent[k]]
+    out: list[list[Block]] = []
+    last = -1
+    for b in found:
+        if top[b.element] != last or b.element == at:
+            out.append([])
+        out[-1].append(b)
+        last = top[b.element]
+    return out
+
+
 def content(page: Page, threshold: float = THRESHOLD) -> list[Block]:
-    """The blocks of the page's article."""
-    found, paths = page.blocks, content_paths(page, threshold)
+    """The blocks of the page's article: all of its element, but for parts named otherwise.
+
+    Where the body is its smallest element, the article goes from the first part of the body that has content to the last
+    one, with headings before it; parts between them that have none and are links for the most are left out.
+    """
+    _forget_headed(page)
+    found = candidates(page)
+    paths, strong = content_paths(page, found, threshold)
     if not found:
         return []
-    at = article(page, paths)
-    if page.tag[at] in ("", "html", "body"):  # the article has no element of its own
-        place = [k for k, b in enumerate(found) if b.path in paths]
-        first = place[0]
-        while first and page.tag[found[first - 1].element] in HEADINGS:
-            first -= 1
-        found, at = found[first : place[-1] + 1], 0
+    at = article(page, found, paths, strong)
     inside = _within(page, at)
+    if page.tag[at] in ("", "html", "body"):
+        parts = _parts(page, [b for b in found if inside[b.element]], at)
+        has = [any(b.path in strong for b in part) for part in parts]
+        first, last = has.index(True), len(has) - has[::-1].index(True)
+        while first and all(page.tag[b.element] in HEADINGS for b in parts[first - 1]):
+            first -= 1
+        prose = lambda part: 2 * sum(b.linked for b in part) < sum(len(b.text) for b in part)
+        found = [b for part, own in zip(parts[first:last], has[first:last], strict=True) if own or prose(part) for b in part]
     told = lambda b: page.hint[b.element] not in (0, at) and inside[page.hint[b.element]]
     return [b for b in found if inside[b.element] and (b.path in paths or not told(b))]
 
