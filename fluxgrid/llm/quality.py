@@ -194,12 +194,10 @@ def verdict(rules: list[Rule], count: Callable[[str], Column]) -> Column:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, name: str = "rejected_by") -> DataFrame:
-    """docs with a column of the given name, which it must not have: the first rule of the cascade that rejects the text, or null.
+    """docs with a column of the given name, in place of one that it has already: the first rule of the cascade that rejects the text, or null.
 
     A null text has no words and is judged as an empty one. Repeated rows come out repeated.
     """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
     cascade = [rule for rule, _, _ in ordered(docs, rules, sample_rows)]
     return docs.withColumn(name, _of(F.col("text"), lambda count: verdict(cascade, count)))
 

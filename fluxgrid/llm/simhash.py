@@ -357,10 +357,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         first = named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.tag")
         counted = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
         same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("tag") == F.col("own"))
-        stays = cut(counted.join(first.select(F.col("doc_id").alias("id"), F.col("tag").alias("own")), same).select("id", "own", "n"))
-    here = (docs["doc_id"].cast("bigint").eqNullSafe(F.col("id"))) & (F.col(tag) == F.col("own"))
-    once = tagged.join(stays.where("n = 1"), here, "left_semi").select(names)
-    repeated = stays.where("n > 1")
+        kept = counted.join(first.select(F.col("doc_id").alias("id"), F.col("tag").alias("own")), same)
+        stays = cut(kept.select(*(F.col(c).alias(f"{tag}_{c}") for c in ("id", "own", "n"))))
+    here = (docs["doc_id"].cast("bigint").eqNullSafe(F.col(f"{tag}_id"))) & (F.col(tag) == F.col(f"{tag}_own"))
+    number = F.col(f"{tag}_n")
+    once = tagged.join(stays.where(number == 1), here, "left_semi").select(names)
+    repeated = stays.where(number > 1)
     if repeated.isEmpty():
         return once
     return once.union(tagged.join(repeated, here, "left_semi").dropDuplicates(["doc_id", tag]).select(names))
