@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxgrid.session import cut, scratch
+
 #: How a turn is rendered; {role} and {text} stand for its columns.
 TEMPLATE = ("<|im_start|>", "\n", "<|im_end|>\n")
 
@@ -45,25 +47,35 @@ def alone(conversations: DataFrame) -> DataFrame:
     return placed.select("role", "text", "_n", F.col("_at").alias("n_turns"), F.struct(_hash(1).cast("decimal(38,0)").alias("a"), _hash(2).cast("decimal(38,0)").alias("b")).alias("_prefix"))
 
 
-def _lasts(conversations: DataFrame, placed: DataFrame) -> DataFrame:
+def _prefixes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, _all, _prefix): each prefix of each conversation by its turns and hash, and how many turns there are."""
+    own = turns(conversations).withColumn("_all", F.count("*").over(Window.partitionBy("conv_id")))
+    return own.select("conv_id", F.col("_at").alias("n_turns"), "_all", "_prefix")
+
+
+def _lasts(prefixes: DataFrame, single: DataFrame) -> DataFrame:
     """(conv_id, n_turns, _prefix, _n) of whole conversations; those without an id come with their number _n."""
-    last = placed.groupBy("conv_id").agg(F.max("_at").alias("n_turns"), F.max_by("_prefix", "_at").alias("_prefix"))
-    none = F.lit(None).cast("bigint")
-    return last.withColumn("_n", F.lit(1).cast("bigint")).union(alone(conversations).select(none, "n_turns", "_prefix", "_n"))
+    last = prefixes.where("n_turns = _all").select("conv_id", "n_turns", "_prefix", F.lit(1).cast("bigint").alias("_n"))
+    return last.union(single.select(F.lit(None).cast("bigint"), "n_turns", "_prefix", "_n"))
 
 
-def _maximal(conversations: DataFrame) -> DataFrame:
+def _maximal(prefixes: DataFrame, lasts: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, _prefix) of each distinct conversation that prefixes no longer one."""
-    placed = turns(conversations)
-    ends = Window.partitionBy("conv_id")
-    proper = placed.withColumn("_n", F.count("*").over(ends)).where("_at < _n").select(F.col("_at").alias("n_turns"), "_prefix").distinct()
-    distinct = _lasts(conversations, placed).groupBy("n_turns", "_prefix").agg(F.min("conv_id").alias("conv_id"), F.sum("_n").alias("n_copies"))
+    proper = prefixes.where("n_turns < _all").select("n_turns", "_prefix").distinct()
+    distinct = lasts.groupBy("n_turns", "_prefix").agg(F.min("conv_id").alias("conv_id"), F.sum("_n").alias("n_copies"))
     return distinct.join(proper, ["n_turns", "_prefix"], "left_anti").select("conv_id", "n_turns", "n_copies", "_prefix")
 
 
+def _members(prefixes: DataFrame, lasts: DataFrame, stays: DataFrame) -> DataFrame:
+    named = stays.where("conv_id is not null").select("conv_id")
+    reach = prefixes.join(named, "conv_id", "left_semi").groupBy("n_turns", "_prefix").agg(F.min(F.struct(-F.col("_all"), "conv_id")).alias("_best"))
+    return lasts.join(reach, ["n_turns", "_prefix"], "left").select("conv_id", F.col("_best.conv_id").alias("kept_id"), F.col("_n").alias("n"))
+
+
 def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of each conversation that prefixes no longer one; of equal ones, the smallest id stands for all n_copies."""
-    return _maximal(conversations).drop("_prefix")
+    prefixes = _prefixes(conversations)
+    return _maximal(prefixes, _lasts(prefixes, alone(conversations))).drop("_prefix")
 
 
 def members(conversations: DataFrame) -> DataFrame:
@@ -71,11 +83,9 @@ def members(conversations: DataFrame) -> DataFrame:
 
     n is 1, or the number of rows without an id that are the same; a kept conversation may be one of those, with a null kept_id.
     """
-    placed = turns(conversations)
-    stays = _maximal(conversations).where("conv_id is not null").select("conv_id", F.col("n_turns").alias("_length"))
-    best = F.min(F.struct(-F.col("_length"), "conv_id")).alias("_best")
-    reach = placed.join(stays, "conv_id").groupBy(F.col("_at").alias("n_turns"), "_prefix").agg(best)
-    return _lasts(conversations, placed).join(reach, ["n_turns", "_prefix"], "left").select("conv_id", F.col("_best.conv_id").alias("kept_id"), F.col("_n").alias("n"))
+    prefixes = _prefixes(conversations)
+    lasts = _lasts(prefixes, alone(conversations))
+    return _members(prefixes, lasts, _maximal(prefixes, lasts))
 
 
 def rendered(conversations: DataFrame, template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
@@ -84,21 +94,25 @@ def rendered(conversations: DataFrame, template: tuple[str, str, str] = TEMPLATE
     n_copies: conversations that equal it, itself included. n_collapsed: shorter ones that it stands for, by members().
     A null role or text is rendered as nothing between the template's marks. A row without a conv_id is a conversation
     of one turn with a null conv_id. An empty table gives no row, and columns other than the four named are left out.
+    The hashes of all prefixes are written once; texts are read once more, for the conversations that stay.
     """
     start, middle, end = (F.lit(x) for x in template)
     turn = F.concat(start, F.coalesce("role", F.lit("")), middle, F.coalesce("text", F.lit("")), end)
-    stays = _maximal(conversations)
-    stood = members(conversations).where("kept_id is not null").groupBy(F.col("kept_id").alias("conv_id")).agg(F.sum("n").alias("_all"))
-    named = stays.where("conv_id is not null").drop("_prefix").join(stood, "conv_id")
-    parts = turns(conversations).select("conv_id", "_at", turn.alias("_turn")).join(named, "conv_id")
-    whole = parts.groupBy("conv_id").agg(
-        F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), (F.first("_all") - F.first("n_copies")).alias("n_collapsed"),
-        F.sort_array(F.collect_list(F.struct("_at", "_turn"))).alias("_turns"),
+    with scratch(conversations.sparkSession) as write:
+        prefixes, single = write(_prefixes(conversations)), write(alone(conversations))
+        lasts = write(_lasts(prefixes, single))
+        stays = write(_maximal(prefixes, lasts))
+        stood = _members(prefixes, lasts, stays).where("kept_id is not null").groupBy(F.col("kept_id").alias("conv_id")).agg(F.sum("n").alias("_stood"))
+        named = cut(stays.where("conv_id is not null").drop("_prefix").join(stood, "conv_id"))
+        zero = F.lit(0).cast("bigint").alias("n_collapsed")
+        others = single.select("_prefix", "n_turns", turn.alias("text"))
+        others = cut(stays.where("conv_id is null").join(others, ["_prefix", "n_turns"]).select("conv_id", "n_turns", "n_copies", zero, "text"))
+    order = F.struct("turn", "role", "text", turn.alias("_turn"))  # as turns() has it
+    whole = _own(conversations).join(named, "conv_id").groupBy("conv_id").agg(
+        F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), (F.first("_stood") - F.first("n_copies")).alias("n_collapsed"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["_turn"]), "").alias("text"),
     )
-    many = whole.select("conv_id", "n_turns", "n_copies", "n_collapsed", F.array_join(F.transform("_turns", lambda x: x["_turn"]), "").alias("text"))
-    single = alone(conversations).select("_prefix", "n_turns", turn.alias("text"))
-    zero = F.lit(0).cast("bigint").alias("n_collapsed")
-    return many.union(stays.where("conv_id is null").join(single, ["_prefix", "n_turns"]).select("conv_id", "n_turns", "n_copies", zero, "text"))
+    return whole.union(others)
 
 
 ORACLE = """
