@@ -13,8 +13,8 @@ partitions whose smallest item it has shingles enough to contain. Where one is f
 shingles are compared as strings.
 
 The items are the query set. They reach the executors in blocks of a bounded number of characters, as flat arrays of
-hashes and their texts, so any number of them can be searched, with one pass over the documents for each block. An item
-that is longer than a block is a block of its own.
+hashes and their texts, so any number of them can be searched, with one pass over the documents for each block. Items
+are dealt to blocks by hash and never split, so one that is longer than a block makes its block longer.
 """
 
 from __future__ import annotations

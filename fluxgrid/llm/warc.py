@@ -60,8 +60,9 @@ def archived(records: DataFrame, parts: DataFrame) -> DataFrame:
     """(file_id, page_id, url, digest, position, offset, length, copies): listed() records laid out in archives.
 
     parts(block, parts): of how many archives each block of ids consists; the records of a block are dealt to them by a
-    hash of id and address, so that no archive is large, whatever ids repeat. Within an archive records are ordered by
-    id, address and digest; copies follow one another. Only digests are shuffled.
+    hash of id and address. Different contents of one id and address lie in one archive, as corrupt ones are told there,
+    so that an archive is as large as the most contents that any address has; equal contents are one row. Within an
+    archive records are ordered by id, address and digest; copies follow one another. Only digests are shuffled.
     """
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
     filed = records.join(parts.withColumnRenamed("block", "_block"), F.col("block").eqNullSafe(F.col("_block")), "left")
