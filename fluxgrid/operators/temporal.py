@@ -88,7 +88,7 @@ def charge(cube: DataFrame, window: int, decay: float, value: str = "anomaly", b
     number = F.floor(F.col("t") / block).cast("int")
     ahead = F.when(F.pmod("t", F.lit(block)) >= block - window, F.array(number, number + 1)).otherwise(F.array(number))
     rows = cube.withColumn("_own", own).withColumn("_block", F.explode(ahead))
-    days = Window.partitionBy(*CELL, "_block").orderBy("t")
+    days = Window.partitionBy(F.xxhash64(*CELL, "_block"), *CELL, "_block").orderBy("t")  # sorted by one number, mostly
     since = F.col("t") - F.col("_block") * block  # from -window on
     weighted = F.sum(F.col("_own") * F.pow(F.lit(1.0 / q), since)).over(days.rowsBetween(Window.unboundedPreceding, 0))
     states = rows.withColumn("_since", since).withColumn("_state", weighted * F.pow(F.lit(q), since))

@@ -174,8 +174,8 @@ def planned(path: str, options: dict[str, str], limits: dict[str, tuple[float, f
 
 
 class _Chunks(InputPartition):
-    def __init__(self, plan: Plan, chunks: list[tuple[int, ...]]) -> None:
-        self.plan, self.chunks = plan, chunks
+    def __init__(self, chunks: list[tuple[int, ...]]) -> None:
+        self.chunks = chunks
 
 
 def _limit(column: str, value: object) -> tuple[str, float, float]:
@@ -193,7 +193,7 @@ class ChunkReader(DataSourceReader):
     """Reads the chunks that the limits of the options touch."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.options, self.limits = options, {}
+        self.options, self.limits, self.plan = options, {}, None
         for axis in ("lat", "lon"):
             self._narrow(axis, float(options.get(f"{axis}_min", "-inf")), float(options.get(f"{axis}_max", "inf")))
         for end, name in ((0, "first_day"), (1, "last_day")):
@@ -206,12 +206,17 @@ class ChunkReader(DataSourceReader):
         self.limits[axis] = (max(a, low), min(b, high))
 
     def partitions(self) -> Sequence[InputPartition]:
-        plan = planned(self.options["path"], self.options, self.limits)
-        chunks, most = plan.chunks(), max(1, TASK_CELLS // int(np.prod(plan.array.chunks)))
-        return [_Chunks(plan, chunks[i : i + most]) for i in range(0, len(chunks), most)] or [_Chunks(plan, [])]
+        chunks, most = self._planned().chunks(), max(1, TASK_CELLS // int(np.prod(self._planned().array.chunks)))
+        return [_Chunks(chunks[i : i + most]) for i in range(0, len(chunks), most)] or [_Chunks([])]
+
+    def _planned(self) -> Plan:
+        """The plan of the options; goes to the tasks with the reader, once and not with each partition."""
+        if self.plan is None:
+            self.plan = planned(self.options["path"], self.options, self.limits)
+        return self.plan
 
     def read(self, partition: _Chunks) -> Iterator[pa.RecordBatch]:
-        plan, (fs, _) = partition.plan, _opened(self.options["path"])
+        plan, (fs, _) = self._planned(), _opened(self.options["path"])
         days = plan.axes["time"] // 86_400_000_000 if "time" in plan.axes else np.zeros(1, np.int64)
         for at in partition.chunks:
             stored = plan.array.chunk(fs, at)
@@ -269,17 +274,18 @@ class ChunkWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         fs, _ = _opened(self.path)
         size, shape, folder = self.layout["chunks"], np.array(self.layout["shape"]), f"{self.job}/{uuid.uuid4().hex}"
-        made, at, block, seen = _Written(folder, []), None, None, None
+        made, done, at, block, seen = _Written(folder, []), set(), None, None, None
         fs.create_dir(folder)
 
         def flush() -> None:
             key = ".".join(map(str, at))
-            if key in made.keys:
+            if key in done:
                 raise ValueError(f"the cells of chunk {key} don't come together")
             data = np.ascontiguousarray(block).tobytes()
             with fs.open_output_stream(f"{folder}/{key}") as f:
                 f.write(zlib.compress(data, 1) if self.layout["codec"] == "zlib" else data)
             made.keys.append(key)
+            done.add(key)
 
         for batch in batches:
             cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in self.layout["index"]], axis=1).astype(np.int64)
@@ -331,7 +337,7 @@ class ChunkWriter(DataSourceArrowWriter):
             n, kind = max(1, len(axis["values"])), "<i8" if name == "time" else "<f8"
             put(f"{name}/0", np.array(axis["values"] or [0], kind).tobytes())
             describe(name, [len(axis["values"])], [n], kind, [name], None, axis["attrs"])
-        describe(layout["variable"], layout["shape"], size if (size := layout["chunks"]) else [], "<f8", list(layout["axes"]), codec, {})
+        describe(layout["variable"], layout["shape"], layout["chunks"], "<f8", list(layout["axes"]), codec, {})
         put(".zgroup", {"zarr_format": 2})
         self._clear(fs, root)
 

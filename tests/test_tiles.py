@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxgrid.operators import cluster, spatial, temporal
+from fluxgrid.operators import cluster, grid, spatial, temporal
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +132,14 @@ def test_charge_in_blocks(spark, window, decay, block):
         assert np.allclose([found[c, t] for t in range(400)], want, rtol=1e-9, atol=1e-9)
 
 
+def test_dense_days_are_made_in_several_tasks(spark):
+    cells = grid.grid(spark, [float(i) for i in range(20)], [float(j) for j in range(30)])
+    seen = spark.createDataFrame([(dt.date(2020, 1, 1), 0, 0, 1.0), (dt.date(2022, 1, 1), 3, 4, 2.0)], "day date, lat_i int, lon_i int, value double")
+    tasks = [r["count"] for r in grid.densified(seen, cells).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 732 * 600 and len(tasks) > 1 and max(tasks) < 0.5 * sum(tasks)
+    assert grid.densified(seen.limit(0), cells).isEmpty()
+
+
 def test_blocks_stay_in_range():
     for window, decay in ((30, 0.02), (30, 0.0), (5, 0.9), (100, 0.5)):
         block = temporal.scan_block(window, decay)
