@@ -52,6 +52,10 @@ def daily(df: DataFrame, statistic: str, time: str = "ts", value: str = "value",
     return df.groupBy(F.to_date(time).alias("day"), *by).agg(STATISTICS[statistic](value).alias("value"))
 
 
+#: Days that a task makes at least, of a dense cube.
+DAYS = 16
+
+
 def densified(observed: DataFrame, cells: DataFrame, value: str = "value") -> DataFrame:
     """A cube with a row for each day from the first to the last and each cell; what wasn't observed is null.
 
@@ -61,7 +65,7 @@ def densified(observed: DataFrame, cells: DataFrame, value: str = "value") -> Da
     span = observed.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
     n = (span.b - span.a).days + 1 if span.a else 0
     count = F.col("id").cast("int")
-    days = spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).select(F.date_add(F.lit(span.a).cast("date"), count).alias("day"), count.alias("t"))
+    days = spark.range(0, n, 1, max(1, min(n // DAYS, 4 * spark.sparkContext.defaultParallelism))).select(F.date_add(F.lit(span.a).cast("date"), count).alias("day"), count.alias("t"))
     return days.join(small(cells)).join(observed.select("day", *CELL, value), ["day", *CELL], "left").select("day", "t", *CELL, "lat", "lon", value)
 
 
