@@ -4,10 +4,17 @@ A word is a run of ASCII letters and digits and of characters outside ASCII, wit
 words. A text of fewer than five words has one shingle, all its words; one without any has what stands between white
 space for words. Texts with the same shingles are one print, a 64-bit hash of the set.
 
-Two sets with a similarity of 0.8 share at least 0.8 of the larger one's n shingles. So, in any order that is the same
-for all sets, they share one of the first n - ceil(0.8 n) + 1 shingles of each: equality on these finds every pair.
-Shingles that are rare in a sample come first in that order, so that common passages make few candidates. Of these,
-pairs go whose counts of shingles by the hash's first byte can't have enough in common, and whole sets then decide. Fingerprints can't stand in for this search: most pairs at 0.8 differ in more bits than any keys allow.
+The search has three steps, and whole sets decide in each.
+
+* SimHash: fingerprints of the sets within 4 bits, by Golay codeword keys (fluxgrid.llm.simhash). Most pairs at 0.8 differ
+  in more bits than any keys allow, so this step alone would lose links.
+* Two sets with a similarity of 0.8 share at least 0.8 of the larger one's n shingles. So, in any order that is the same
+  for all sets, they share one of the first n - ceil(0.8 n) + 1 shingles of each: equality on these finds every pair.
+  Shingles that are rare in a sample come first in that order, so that common passages make few candidates. All prints
+  that have a shingle among their first ones are compared with one of them.
+* Those that are still in different components are compared with each other, within the task that holds the shingle. A pair
+  goes unless its sizes, the shingle's places and two sketches leave room for a similarity of 0.8. A print's most similar
+  one by the sketches comes first; what that links needs no other pair.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxgrid.llm import simhash
 from fluxgrid.llm import words as W
 from fluxgrid.operators.graph import connected_components
 from fluxgrid.session import BROADCAST_BYTES
@@ -27,6 +35,12 @@ from fluxgrid.session import BROADCAST_BYTES
 WIDTH = 5
 #: Texts in the sample that tells which shingles are common, and the number of shingles that it tells. They change the cost only.
 SAMPLE, COMMON = 10_000, 200_000
+#: Prints of a bucket that are compared with each other within one task; larger buckets are cut into blocks, each pair of blocks a task's group of its own.
+BLOCK = 512
+#: Bytes of a sketch that goes along with each of a print's keys; longer sketches are folded for that.
+CARRIED = 256
+#: Pairs of a task whose sketches are compared at once.
+PAIRS = 1 << 16
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -102,23 +116,49 @@ def first_shingles(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> n
     return own[np.argsort(often, kind="stable")[:number]]
 
 
-def _cells(own: np.ndarray) -> bytes:
-    """How many hashes begin with each byte, in one byte each or, where a count is over 255, in four. Two sets share no more than the lesser of both counts, summed over the bytes."""
-    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
-    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+def _sketch(own: np.ndarray) -> bytes:
+    """For each class of hashes, by their last bits, whether the set has an odd number of them: two to four classes a hash.
+
+    Each element that is in one of two sets only flips one bit, so they differ in as many elements at least as their
+    sketches in bits. The sketch of half as many classes is one half with exclusive or of the other.
+    """
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    number = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((number & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    return rows if rows.shape[1] == words else np.bitwise_xor.reduce(rows.reshape(len(rows), -1, words), axis=1)
 
 
-def _counts(cells: pa.Array) -> np.ndarray:
-    rows = [np.frombuffer(x, np.uint8 if len(x) == 256 else "<u4") for x in cells.to_pylist()]
-    return np.array(rows, np.int64).reshape(-1, 256)
+def _carried(sketch: bytes) -> bytes:
+    return sketch if len(sketch) <= CARRIED else _folded(np.frombuffer(sketch, "<u8")[None], CARRIED // 8).tobytes()
+
+
+def _differing(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many elements the sets of each pair of positions differ at least."""
+    size, place, rows = np.array([len(x) // 8 for x in sketches], np.int64), np.zeros(len(sketches), np.int64), {}
+    for words in np.unique(size).tolist():
+        at = np.flatnonzero(size == words)
+        rows[words], place[at] = np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), "<u8").reshape(-1, words), np.arange(len(at))
+    out = np.zeros(len(left), np.int64)
+    for a, b in np.unique(np.stack((size[left], size[right]), axis=1), axis=0).tolist():
+        those, words = np.flatnonzero((size[left] == a) & (size[right] == b)), min(a, b)
+        step = max(1, (1 << 20) // max(a, b))
+        for at in range(0, len(those), step):
+            one = those[at : at + step]
+            bits = _folded(rows[a][place[left[one]]], words) ^ _folded(rows[b][place[right[one]]], words)
+            out[one] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sizes and whole sketches leave room for a similarity of 0.8."""
     for batch in _parts(batches):
-        left, right = (_counts(batch.column(k)) for k in (2, 3))
-        most = np.minimum(left, right).sum(axis=1)
-        stays = 9 * most >= 4 * (left.sum(axis=1) + right.sum(axis=1))
-        yield batch.select([0, 1]).filter(pa.array(stays))
+        n = batch.num_rows
+        sketches = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+        most = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+        yield batch.select([0, 1]).filter(pa.array(9 * _differing(sketches, np.arange(n), np.arange(n, 2 * n)) <= most))
 
 
 Write = Callable[[DataFrame], DataFrame]
@@ -128,10 +168,12 @@ def _prefixed(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             own = shingle_sets(batch.column(1))
+            whole = [_sketch(x) for x in own]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(map(_print, own), pa.int64()), pa.array(map(len, own), pa.int64()),
-                 _lists([first_shingles(x, *shared.value) for x in own]), pa.array([_cells(x) for x in own], pa.binary())],
-                ["doc_id", "tag", "print", "n", "first", "cells"],
+                 _lists([first_shingles(x, *shared.value) for x in own]), pa.array(map(_carried, whole), pa.binary()),
+                 pa.array([x if len(x) > CARRIED else None for x in whole], pa.binary()), pa.array(simhash.set_fingerprints(own).view(np.int64))],
+                ["doc_id", "tag", "print", "n", "first", "sketch", "whole", "fingerprint"],
             )
 
     return run
@@ -144,15 +186,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, hub, hub_n, print, n) of the keys with two prints or more, from rows (key, print, n) sorted by key; a key's first print is its hub."""
-    last = None  # the last row's key, and its hub's print and n
+    """Rows (key, hub, hub_n, print, n, ...) of the keys with two prints or more, from rows (key, print, n, ...) sorted by key; a key's first print is its hub."""
+    last = None  # the last row, and its hub's print and n
     alone = False  # whether that row is the first of its key, and hasn't come out so far
     for batch in batches:
-        key, own, n = (np.asarray(batch.column(k)) for k in range(3))
-        if not len(key):
+        columns = [np.asarray(x) for x in batch.columns]
+        if not batch.num_rows:
             continue
         if last is not None:
-            key, own, n = (np.concatenate(([x], y)) for x, y in zip(last, (key, own, n), strict=True))
+            columns = [np.concatenate(([x], y)) for x, y in zip(last, columns, strict=True)]
+        key, own, n, *more = columns
         new = np.concatenate(([True], key[1:] != key[:-1]))
         hub = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         out = ~new
@@ -160,8 +203,73 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None and not alone:
             out[0] = False
         alone = not out[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, own[hub], n[hub], own, n)], ["key", "hub", "hub_n", "print", "n"])
-        last = (key[-1], own[hub[-1]], n[hub[-1]])
+        names = ["key", "hub", "hub_n", "print", "n", *batch.schema.names[3:]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, own[hub], n[hub], own, n, *more)], names)
+        last = (key[-1], own[hub[-1]], n[hub[-1]], *(x[-1] for x in more))
+
+
+def _in_group(table: pa.Table, nearest: bool) -> pa.RecordBatch:
+    """The possible pairs (a, b) of different components within each group (key, i, j) of sorted rows."""
+    key, i, j, side, own, n, component, place = (table.column(k).to_numpy() for k in range(8))
+    sketches, rows = table.column(8).to_pylist(), len(key)
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    begin = np.flatnonzero(new)
+    end = np.repeat(np.append(begin[1:], rows), np.diff(np.append(begin, rows)))
+    kept, waiting, held = [], [], 0
+
+    def compared() -> None:
+        left, right = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        most, least = n[left] + n[right], _differing(sketches, left, right)
+        fits = 9 * least <= most
+        left, right, share = left[fits], right[fits], least[fits] / most[fits]
+        if nearest and len(left):  # of each row the one that is most like it
+            row, other, both = np.concatenate((left, right)), np.concatenate((right, left)), np.concatenate((share, share))
+            order = np.lexsort((own[other], both, row))
+            first = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
+            left, right = row[first], other[first]
+        a, b = own[left], own[right]
+        kept.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+
+    left, step = np.arange(rows), 0
+    while True:
+        step += 1
+        left = left[left + step < end[left]]
+        if not len(left):
+            break
+        right = left + step
+        # Where the key is the first shingle that both share, those before it in either are in one set only.
+        fits = (component[left] != component[right]) & ((i[left] == j[left]) | (side[left] != side[right]))
+        fits &= (9 * (place[left] + place[right]) <= n[left] + n[right]) & (10 * np.minimum(n[left], n[right]) >= 8 * np.maximum(n[left], n[right]))
+        waiting.append((left[fits], right[fits]))
+        held += int(fits.sum())
+        if held >= PAIRS:
+            compared()
+            held = 0
+    if waiting:
+        compared()
+    found = np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+
+
+def _apart(nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Possible pairs from rows (key, i, j, side, print, n, component, place, sketch) sorted by key, i and j; a group has two blocks' rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _parts(batches, 10_000):
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            key, i, j = (table.column(k).to_numpy() for k in range(3))
+            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield _in_group(table.slice(0, last), nearest)
+            held = table.slice(last)
+        if held is not None:
+            yield _in_group(held, nearest)
+
+    return run
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -175,8 +283,11 @@ def _hinted(prints: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, write: Write) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of at least 0.8."""
-    left, right = rows.select(F.col("print").alias("a"), F.col("cells").alias("own")), rows.select(F.col("print").alias("b"), F.col("cells").alias("other"))
-    pairs = write(pairs.join(right, "b").join(left, "a").select("a", "b", "own", "other").mapInArrow(_possible, "a bigint, b bigint"))
+    sketch = F.coalesce("whole", "sketch")
+    left = rows.select(F.col("print").alias("a"), F.col("n").alias("n_a"), sketch.alias("own"))
+    right = rows.select(F.col("print").alias("b"), F.col("n").alias("n_b"), sketch.alias("other"))
+    sized = pairs.join(right, "b").join(left, "a").where(_sizes_fit("n_a", "n_b"))
+    pairs = write(sized.select("a", "b", "n_a", "n_b", "own", "other").mapInArrow(_possible, "a bigint, b bigint"))
     wanted = write(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
     sets = docs.select(F.col("text").cast("string")).mapInArrow(_sets, "print bigint, shingles array<bigint>")
     sets = write(sets.join(_hinted(wanted), "print", "left_semi").dropDuplicates(["print"]))
@@ -186,34 +297,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, write: Write)
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, print, n, first, cells) of each row of docs(doc_id, text, tag): its set's hash, size, first shingles and counts by first byte."""
+    """(doc_id, tag, print, n, first, sketch, whole, fingerprint) of each row of docs(doc_id, text, tag): its set's hash, size, first shingles, sketch (whole, if it isn't carried so) and SimHash."""
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), "tag")
-    return source.mapInArrow(_prefixed(_common(source)), "doc_id bigint, tag bigint, print bigint, n bigint, first array<bigint>, cells binary")
+    kinds = "doc_id bigint, tag bigint, print bigint, n bigint, first array<bigint>, sketch binary, whole binary, fingerprint bigint"
+    return source.mapInArrow(_prefixed(_common(source)), kinds)
+
+
+def _components(edges: DataFrame, held: DataFrame, rows: DataFrame, write: Write) -> DataFrame:
+    """held(key, print, n, place) with components, of those keys that have prints of several, in blocks: (key, i, j, side, print, n, component, place, sketch)."""
+    labels = write(connected_components(edges)).withColumnRenamed("node", "print")
+    named = write(held.select("key", "print", "n", "place").join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
+    keys = named.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c"), F.max("component").alias("d"))
+    keys = write(keys.where("c < d").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    dealt = named.join(keys, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).cast("int").alias("side"), "print", "n", "component", "place")
+    return dealt.join(rows.select("print", "sketch"), "print").select("key", "i", "j", "side", "print", "n", "component", "place", "sketch")
 
 
 def links(docs: DataFrame, rows: DataFrame, write: Write) -> DataFrame:
     """Edges (a, b) between prints that connect all those with a similarity of at least 0.8.
 
-    rows: prints(docs), written. write: writes a table and reads it again (session.scratch). All prints of a bucket are
-    compared with its hub first, and then only those that are still in different components with each other, so that a
-    crowd of near copies costs one comparison a copy and not one a pair. The work of a bucket grows with its square
-    where hardly any of its prints are linked. Of equal prints one is dealt; only repeated ones are shuffled for that.
+    rows: prints(docs), written. write: writes a table and reads it again (session.scratch). Near fingerprints, and all prints of a
+    bucket with its hub, are compared first; then, of those that are still in different components, each with the one that
+    its sketch is nearest to; and then all those that are in different components even so. A crowd of near copies costs
+    some comparisons of sets a copy, not one a pair. Sketches of a bucket are compared in its task, with a number that
+    grows with its square where hardly any of its prints are linked. Of equal prints one is dealt; only repeated
+    ones are shuffled for that.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = _hinted(write(rows.groupBy("print").agg(F.count("*").alias("_n")).where("_n > 1").select("print")))
-    rows = rows.select("print", "n", "first", "cells")
+    rows = rows.select("print", "n", "first", "sketch", "whole", "fingerprint")
     rows = rows.join(repeated, "print", "left_anti").union(rows.join(repeated, "print", "left_semi").dropDuplicates(["print"]))
-    keyed = rows.select(F.explode("first").alias("key"), "print", "n")
+    keyed = rows.select(F.posexplode("first").alias("place", "key"), "print", "n").select("key", "print", "n", F.col("place").cast("bigint"))
     dealt = keyed.repartition(tasks, "key").sortWithinPartitions("key", "print")
-    held = write(dealt.mapInArrow(_buckets, "key bigint, hub bigint, hub_n bigint, print bigint, n bigint"))
-    star = write(held.where("print <> hub").where(_sizes_fit("hub_n", "n")).select(F.col("hub").alias("a"), F.col("print").alias("b")).distinct())
-    edges = _verified(star, docs, rows, write)
-    labels = write(connected_components(edges)).withColumnRenamed("node", "print")
-    named = write(held.select("key", "print", "n").join(labels, "print", "left").withColumn("component", F.coalesce("component", "print")))
-    groups = write(named.select("key", "component").distinct())
-    apart = groups.select("key", F.col("component").alias("c")).join(groups.select("key", F.col("component").alias("d")), "key").where("c < d")
-    one = named.select("key", F.col("component").alias("c"), F.col("print").alias("p"), F.col("n").alias("p_n"))
-    two = named.select("key", F.col("component").alias("d"), F.col("print").alias("q"), F.col("n").alias("q_n"))
-    rest = apart.join(one, ["key", "c"]).join(two, ["key", "d"]).where(_sizes_fit("p_n", "q_n"))
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return edges.union(_verified(rest, docs, rows, write))
+    held = write(dealt.mapInArrow(_buckets, "key bigint, hub bigint, hub_n bigint, print bigint, n bigint, place bigint"))
+    rows = write(rows.drop("first"))
+    star = held.where("print <> hub").where(_sizes_fit("hub_n", "n")).select(F.col("hub").alias("a"), F.col("print").alias("b"))
+    done = write(star.distinct())
+    edges = _verified(done, docs, rows, write)
+    for nearest in (True, False):
+        apart = _components(edges, held, rows, write)
+        sorted_ = apart.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = write(sorted_.mapInArrow(_apart(nearest), "a bigint, b bigint").distinct().join(done, ["a", "b"], "left_anti"))
+        edges = write(edges.union(_verified(found, docs, rows, write)))
+        done = done.union(found)
+    return edges

@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import neardup
 from fluxgrid.llm import words as W
 from fluxgrid.llm.xxh64 import xxh64
 from fluxgrid.operators.graph import connected_components
@@ -41,26 +40,37 @@ _GENERATOR = 0b101011100011  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 +
 
 
 @cache
-def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(syndrome of each 23-bit word, all error patterns of up to 4 bits by syndrome, their number)."""
-    left = np.arange(1 << 23, dtype=np.uint32)
+def _syndromes() -> tuple[np.ndarray, np.ndarray]:
+    """The syndromes of all words of 12 bits, and of those with 11 zeros below; a word's is the exclusive or of both its parts'."""
+    left = np.concatenate((np.arange(1 << 12, dtype=np.uint32), np.arange(1 << 11, dtype=np.uint32) << 12))
     for bit in range(22, 10, -1):
         left ^= np.where(left >> bit & 1, np.uint32(_GENERATOR << (bit - 11)), np.uint32(0))
+    return left[: 1 << 12].astype(np.int16), left[1 << 12 :].astype(np.int16)
+
+
+def syndromes(words: np.ndarray) -> np.ndarray:
+    low, high = _syndromes()
+    return low[words & 4095] ^ high[words >> 12]
+
+
+@cache
+def _golay() -> tuple[np.ndarray, np.ndarray]:
+    """(all error patterns of up to 4 bits by syndrome, their number)."""
     patterns = [sum(1 << b for b in bits) for n in range(5) for bits in combinations(range(23), n)]
     by = defaultdict(list)
-    for p in patterns:
-        by[int(left[p])].append(p)
+    for p, s in zip(patterns, syndromes(np.array(patterns)).tolist(), strict=True):
+        by[s].append(p)
     table = np.zeros((2048, 6), np.uint32)
     count = np.zeros(2048, np.int64)
     for s, found in by.items():
         table[s, : len(found)], count[s] = found, len(found)
-    return left.astype(np.int16), table, count
+    return table, count
 
 
 def codewords(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in the input, index) of each codeword within 4 bits of each 23-bit word."""
-    syndrome, table, count = _golay()
-    s = syndrome[segment]
+    table, count = _golay()
+    s = syndromes(segment)
     n = count[s]
     at = np.repeat(np.arange(len(segment)), n)
     rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
@@ -130,6 +140,14 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit SimHash of each set of hashes; 0 of an empty one."""
+    size = np.array([len(x) for x in sets], np.int64)
+    hashes = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    return np.packbits(2 * _ones(hashes, begin) > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _ones(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, for each run of hashes."""
     spread = _spread()
@@ -172,10 +190,11 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Links found within a task, as a forest; what leaves the task is one edge a fingerprint and not one a pair."""
+    """Links found within a task, as a forest; what leaves the task is one link a fingerprint and not one a pair."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.made: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up, path = self.up, []
@@ -187,16 +206,16 @@ class _Forest:
         return x
 
     def link(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.made.append((a, b))
 
     def edges(self) -> pa.RecordBatch:
-        nodes = list(self.up)
-        roots = [self.root(x) for x in nodes]
+        own = np.array(self.made, np.int64).reshape(-1, 2)
         self.up.clear()
-        empty = pa.nulls(len(nodes), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), empty], ["a", "b", "key"])
+        self.made.clear()
+        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.nulls(len(own), pa.int64())], ["a", "b", "key"])
 
 
 def _grow(members: np.ndarray, forest: _Forest) -> None:
@@ -338,12 +357,15 @@ def components(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, text), one of each component: that with its smallest doc_id.
 
-    Components are of texts with a similarity of at least 0.8 (fluxgrid.llm.neardup), not of near fingerprints. Rows are
+    Components are of texts with a similarity of at least 0.8 (fluxgrid.llm.neardup). Near fingerprints are candidates for
+    them, which sets verify, and the exact join by first shingles adds what fingerprints miss. Rows are
     told apart as rows: others with the same doc_id but another text are judged by their text. Of several rows of a
     component with its smallest id, that with the smallest hash of all its columns stays, and of equal rows one; a row
     without an id stays only where no row of its component has one. A null text counts as empty, and an empty table
     gives no row.
     """
+    from fluxgrid.llm import neardup  # it searches by this module's fingerprints
+
     names = docs.columns
     tag = "_tag_" + "_".join(names)  # no column of docs has a name that holds all names
     tagged = docs.withColumn(tag, F.xxhash64(*(c for c in names if not docs.schema[c].dataType.simpleString().startswith(("map", "variant")))))

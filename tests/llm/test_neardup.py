@@ -59,3 +59,54 @@ def test_buckets_over_batches():
                    for x in (rows[i : i + size] for i in range(0, len(rows), size))]
         got = [tuple(r.values()) for b in neardup._buckets(iter(batches)) for r in b.to_pylist()]
         assert sorted(got) == sorted(wanted)
+
+
+def test_near_duplicates_in_blocks_equal_brute_force(spark, monkeypatch):
+    """Buckets cut into blocks of a few prints lose no link across them."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    test_near_duplicates_equal_brute_force(spark)
+
+
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (0, 1, 3, 40, 300, 320, 3000, 3600):
+        whole = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        sets += [whole, whole[: n * 9 // 10], np.unique(np.concatenate((whole[n // 8 :], rng.integers(0, 1 << 64, n // 8, np.uint64, endpoint=False))))]
+    left, right = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)])
+    whole = [neardup._sketch(x) for x in sets]
+    assert max(map(len, whole)) > neardup.CARRIED
+    for sketches in (whole, [neardup._carried(x) for x in whole]):
+        least = neardup._differing(sketches, left, right)
+        assert (least <= differ).all() and (least[differ > 0] > 0).mean() > 0.9
+    near = (left // 3 == right // 3) & (differ < 700)  # of a set and its own copies
+    assert (neardup._differing(whole, left[near], right[near]) >= 0.75 * differ[near]).all()
+
+
+def _crowd(n):
+    """Texts of one page with 8 of its 300 words changed in each: none is within 0.8 of another, and all share first shingles."""
+    rng = random.Random(11)
+    page, out = [f"w{k}" for k in range(300)], []
+    for k in range(n):
+        own = list(page)
+        for at in rng.sample(range(300), 8):
+            own[at] = f"x{k}y{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_crowd_costs_no_comparison_a_pair(spark, monkeypatch):
+    compared, verified = [], neardup._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    texts = _crowd(100)
+    sets = [_shingles(t) for t in texts]
+    assert not any(10 * len(a & b) >= 8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.deduplicated(docs).count() == 100
+    assert 0 < sum(compared) < 1000  # of 4,950 pairs
