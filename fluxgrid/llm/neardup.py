@@ -303,6 +303,19 @@ def prints(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(_prefixed(_common(source)), kinds)
 
 
+def near_fingerprints(rows: DataFrame, write: Write) -> DataFrame:
+    """Pairs (a, b) of prints that connect all those whose fingerprints differ in 4 bits or fewer.
+
+    rows: (print, fingerprint), each print once. A fingerprint's least print stands for it, and others with it are linked to that one.
+    """
+    least = write(rows.groupBy("fingerprint").agg(F.min("print").alias("a")))
+    linked = simhash.links(least.select(F.col("fingerprint").alias("print")))
+    left, right = (least.select(F.col("fingerprint").alias(x), F.col("a").alias(f"{x}_")) for x in ("a", "b"))
+    across = linked.join(left, "a").join(right, "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+    same = rows.join(least, "fingerprint").where(F.col("print") != F.col("a")).select("a", F.col("print").alias("b"))
+    return across.union(same)
+
+
 def _components(edges: DataFrame, held: DataFrame, rows: DataFrame, write: Write) -> DataFrame:
     """held(key, print, n, place) with components, of those keys that have prints of several, in blocks: (key, i, j, side, print, n, component, place, sketch)."""
     labels = write(connected_components(edges)).withColumnRenamed("node", "print")
@@ -334,7 +347,7 @@ def links(docs: DataFrame, rows: DataFrame, write: Write) -> DataFrame:
     held = write(dealt.mapInArrow(_buckets, "key bigint, hub bigint, hub_n bigint, print bigint, n bigint, place bigint"))
     rows = write(rows.drop("first"))
     star = held.where("print <> hub").where(_sizes_fit("hub_n", "n")).select(F.col("hub").alias("a"), F.col("print").alias("b"))
-    done = write(star.distinct())
+    done = write(star.union(near_fingerprints(rows.select("print", "fingerprint"), write)).distinct())
     edges = _verified(done, docs, rows, write)
     for nearest in (True, False):
         apart = _components(edges, held, rows, write)

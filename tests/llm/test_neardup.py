@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from fluxgrid.llm import neardup, simhash
+from fluxgrid.session import scratch
 
 
 def _shingles(text):
@@ -110,3 +111,31 @@ def test_a_crowd_costs_no_comparison_a_pair(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.deduplicated(docs).count() == 100
     assert 0 < sum(compared) < 1000  # of 4,950 pairs
+
+
+def test_near_fingerprints_are_searched(spark, monkeypatch):
+    """The near-duplicates go through SimHash: sets' fingerprints, all of them within 4 bits connected, and verified by the sets."""
+    texts = _texts()
+    own = [x for x in neardup.shingle_sets(pa.array(texts)) if len(x)]
+    prints = simhash.set_fingerprints(own)
+    for x, p in zip(own, prints.tolist(), strict=True):
+        assert p == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x.tolist()) > len(x))
+    rows = {neardup._print(x): p for x, p in zip(own, prints.view(np.int64).tolist(), strict=True)}
+    close = {(a, b) for a in rows for b in rows if a < b and bin((rows[a] ^ rows[b]) & (1 << 64) - 1).count("1") <= simhash.BITS}
+    found = []
+
+    def kept(given, write, search=neardup.near_fingerprints):
+        found.append(write(search(given, write)))
+        return found[0]
+
+    with scratch(spark) as write:
+        kept(spark.createDataFrame(list(rows.items()), "print long, fingerprint long"), write)
+        edges = {(r.a, r.b) for r in found.pop().collect()}
+    root = {x: x for x in rows}
+    for a, b in sorted(edges):
+        x, y = sorted((root[a], root[b]))
+        root = {k: x if r == y else r for k, r in root.items()}
+    assert len(close) > 10 and edges <= close and all(root[a] == root[b] for a, b in close)
+    monkeypatch.setattr(neardup, "near_fingerprints", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.deduplicated(docs).count() < len(texts) and len(found) == 1
