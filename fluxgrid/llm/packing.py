@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm.encoder import vocabulary_path
 from fluxgrid.llm.tokens import encoded
-from fluxgrid.session import cut
+from fluxgrid.session import written
 
 LENGTH = 4096
 END = 2
@@ -83,24 +83,27 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
 
     A null or empty text has one id, the end's. Repeated rows are packed as rows of their own, and null ids come out as
     null; an empty table gives no row. Groups are dealt by a hash of the piece's place, so that no id, however frequent,
-    makes a group large. Pieces are written once to the shared folder: their number is known before they are dealt, and
-    a lost executor costs no second encoding.
+    makes a group large. Pieces are written once to the shared folder, with their places: their number is known before
+    they are dealt, and a lost executor costs no second encoding. A group meets in one task without its ids, which are
+    joined to the places found.
     """
-    own = cut(pieces(docs, path or vocabulary_path(), length, end, keep_ids)).withColumn("_row", F.monotonically_increasing_id())
+    own = written(pieces(docs, path or vocabulary_path(), length, end, keep_ids).withColumn("_row", F.monotonically_increasing_id()))
     full = own.where(F.col("length") == length).withColumns({"sequence_id": 2 * F.col("_row") + 1, "offset": F.lit(0).cast("bigint")}).drop("_row")
     rest = own.where(F.col("length") < length)
     groups = max(1, -(-rest.count() // group))
-    dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(SEED)), F.lit(groups)))
+    dealt = rest.drop("ids").withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(SEED)), F.lit(groups)))
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("_row", "ascending")]
-        table = table.sort_by(order).drop_columns(["_group", "_row"])
+        table = table.sort_by(order).drop_columns(["_group"])
         bins, offsets = first_fit(table.column("length").to_pylist(), length)
         ids = 2 * (np.array(bins, np.int64) + (key[0].as_py() << 32))
         return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    packed = dealt.groupBy("_group").applyInArrow(fill, (PIECES + ", ids binary" * keep_ids) + ", sequence_id bigint, offset bigint")
-    return packed.unionByName(full)
+    packed = dealt.groupBy("_group").applyInArrow(fill, f"{PIECES}, _row bigint, sequence_id bigint, offset bigint")
+    if keep_ids:
+        packed = packed.join(rest.select("_row", "ids"), "_row")
+    return packed.select(full.columns).unionByName(full)
 
 
 def padding(packed: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -201,6 +201,19 @@ def test_packing_groups_are_bounded_by_pieces(spark):
     assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 100}
 
 
+def test_packing_groups_meet_without_ids(spark):
+    """Ids pass no task that holds a whole group, and each piece still has its own."""
+    docs = spark.createDataFrame([(k, f"word{k} " * (30 + k)) for k in range(40)] + [(7, "word7 " * 37), (None, None)], "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, length=100, group=10, keep_ids=True)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "FlatMapGroupsInArrow" in x] and not [x for x in plan.split("\n") if "FlatMapGroupsInArrow" in x and " ids#" in x]
+    rows = packed.collect()
+    assert len(rows) > 42 and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    plain = packing.pack(docs, length=100, group=10)
+    assert packed.columns == [*plain.columns[:5], "ids", *plain.columns[5:]]
+    assert collections.Counter(tuple(r) for r in plain.collect()) == collections.Counter(tuple(r[:5] + r[6:]) for r in rows)
+
+
 def test_first_fit_equals_a_search():
     random.seed(8)
     for n in (0, 1, 2, 77):
